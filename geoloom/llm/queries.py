@@ -35,6 +35,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
     "op4_secrets": op4_secrets,
+    "op6_repeats": op6_repeats,
     "op7_chat": op7_chat,
 }
 
