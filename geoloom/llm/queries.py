@@ -51,12 +51,19 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.render(chat.reconstruct(events))))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
     "op4_secrets": op4_secrets,
     "op6_repeats": op6_repeats,
     "op7_chat": op7_chat,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
