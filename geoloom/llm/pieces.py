@@ -9,7 +9,8 @@ last prefix.  Work per segment is linear in its length.
 
 Segments: no vocabulary entry has a space mark behind another character, so
 texts are cut before every run of spaces; characters without a vocabulary entry
-stand alone as UTF-8 byte tokens, so texts are cut around them too.  Entries made
+stand alone as UTF-8 byte tokens, so texts are cut around them too; and a segment may
+be cut wherever no entry holds the two neighbouring characters.  Entries made
 of space marks alone have the lowest score, so a run is merged, leftmost pair
 first, after the word behind it has taken its mark.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Segments in each of the two generations that a Python worker remembers.
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 500_000
 
 
 class PieceModel:
@@ -65,10 +66,13 @@ class PieceModel:
         cls = "".join(re.escape(c) for c in sorted(known))
         # a run of spaces with the word behind it, or one character without an entry
         self.segments = re.compile(f"{MARK}*[{cls}]+|{MARK}+|.", re.S)
+        #: Neighbouring characters within some entry; elsewhere a segment may be cut.
+        self.bigrams = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.beside: dict[tuple[str, str], bool] = {}
         self.runs: dict[int, list[int]] = {}
-        self.young: dict[str, tuple[list[int], str]] = {}
-        self.old: dict[str, tuple[list[int], str]] = {}
+        self.young: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.tails: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merge(self, symbols: list[str], steps: list[tuple[str, str]] | None = None) -> list[str]:
         """Plain merging by best score, then leftmost; for single entries and space runs."""
@@ -178,26 +182,64 @@ class PieceModel:
             return self.run(n) + [self.ids[p] for p in tokens[1:]]
         return (self.run(n - 1) if n > 1 else []) + [self.ids[p] for p in tokens]
 
-    def encode_parts(self, text: str) -> list[tuple[list[int], str]]:
+    def encode_parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """Per segment, its ids and the ids joined by commas."""
         if not text:
             return []
-        young, out = self.young, []
-        for s in self.segments.findall(MARK + text.replace(" ", MARK)):
-            got = young.get(s)
-            if got is None:
-                got = self.old.get(s)
-                if got is None:
-                    ids = self.segment(s)
-                    got = (ids, ",".join(map(str, ids)))
-                if len(s) < 64:
-                    if len(young) >= CACHE_SEGMENTS:
-                        self.old, self.young = young, {}
-                        young = self.young
-                    young[s] = got
-            out.append(got)
+        # words are keyed without their mark; one behind a line break keeps the break and has no mark
+        words = text.replace("\n", " \n").split(" ")
+        if "" in words or MARK in text:  # runs of spaces
+            words = self.segments.findall(MARK + text.replace(" ", MARK))
+            return [self.get_segment(s) for s in words]
+        get = self.young.get
+        out = [get(w) for w in words]
+        if None in out:
+            out = [got or self.remember(w) for got, w in zip(out, words)]
         return out
 
+    def get_segment(self, s: str) -> tuple[tuple[int, ...], str]:
+        """A segment with its marks; a word with one mark is looked up without it."""
+        if s[0] == MARK and len(s) > 1 and s[1] != MARK:
+            w = s[1:]
+            return self.young.get(w) or self.remember(w)
+        ids = self.parts_of(s)
+        return ids, ",".join(map(str, ids))
+
+    def parts_of(self, s: str) -> tuple[int, ...]:
+        """Ids of a string with its marks, cut where no entry holds both neighbours."""
+        bigrams = self.bigrams
+        at = len(s) - len(s.lstrip(MARK))
+        cuts = [i for i in range(max(at, 1), len(s)) if s[i - 1 : i + 1] not in bigrams]
+        if not cuts:
+            return tuple(self.segment(s))  # tuples of numbers leave the garbage collector's lists
+        ids: tuple[int, ...] = ()
+        for a, b in zip([0, *cuts], [*cuts, len(s)]):
+            part = s[a:b]
+            if part[0] == MARK and len(part) > 1 and part[1] != MARK:
+                ids += (self.young.get(part[1:]) or self.remember(part[1:]))[0]  # mostly a word before punctuation
+            else:
+                got = self.tails.get(part)
+                if got is None:
+                    if len(self.tails) >= CACHE_SEGMENTS:
+                        self.tails.clear()
+                    got = tuple(self.segment(part))
+                    if len(part) < 64:
+                        self.tails[part] = got
+                ids += got
+        return ids
+
+    def remember(self, w: str) -> tuple[tuple[int, ...], str]:
+        """Ids of a word that the young generation does not hold."""
+        got = self.old.get(w)
+        if got is None:
+            ids = self.parts_of(w) if w[0] == "\n" else self.parts_of(MARK + w)
+            got = (ids, ",".join(map(str, ids)))
+        if len(w) < 64:
+            if len(self.young) >= CACHE_SEGMENTS:
+                self.old, self.young = self.young, {}
+            self.young[w] = got
+        return got
+
     def encode(self, text: str) -> list[int]:
         return [i for ids, _ in self.encode_parts(text) for i in ids]
 
