@@ -57,6 +57,19 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.render(chat.reconstruct(events))))
 
 
+def _fold(folds: int, fold: int):  # noqa: ANN202
+    """Whether crc32 of the id as text, modulo ``folds``, is ``fold``; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytecnn import classify, fit
+
+    docs = read(spark, sf_dir, "documents")
+    scored = classify(docs, fit(docs, read(spark, sf_dir, "labels"), fold=1, folds=3))
+    return scored.select("doc_id", _fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_duplicates
 
@@ -70,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op6_repeats": op6_repeats,
     "op7_chat": op7_chat,
+    "op8_quality": op8_quality,
     "op10_embeddings": op10_embeddings,
 }
 
