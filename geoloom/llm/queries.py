@@ -41,6 +41,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify, fit
+
+    docs = read(spark, sf_dir, "documents")
+    scored = classify(docs, fit(docs, read(spark, sf_dir, "labels"), fold=0, folds=5))
+    return scored.select("doc_id", _fold(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
+    "op5_toxicity": op5_toxicity,
     "op6_repeats": op6_repeats,
     "op7_chat": op7_chat,
     "op8_quality": op8_quality,
