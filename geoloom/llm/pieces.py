@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 MARK = "▁"
 #: Segments in each of the two generations that a Python worker remembers.
@@ -268,7 +269,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = (
     src = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
     out_schema = src.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
-        out_schema = out_schema.add("ids", "array<int>").add("decoded", "string")
+        out_schema = out_schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)

@@ -78,6 +78,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _fold(7, 2))
+    return score_documents(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_duplicates
 
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repeats": op6_repeats,
     "op7_chat": op7_chat,
     "op8_quality": op8_quality,
+    "op9_lm": op9_lm,
     "op10_embeddings": op10_embeddings,
 }
 
