@@ -238,7 +238,16 @@ def score_documents(docs: DataFrame, train_on: Column, keep: tuple[str, ...] = (
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums.n + ends, sums.v + (ends > 0)
     short = counts.where(F.length("word") <= HEAD_CHARS)
-    top = short.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # at most HEAD words of HEAD_CHARS
+    # words over a count, chosen so that at most HEAD have it; a sorted limit would send HEAD rows of every task
+    step = F.floor(F.log2("c") * 8)
+    steps = short.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()  # at most 8 per doubling of the count
+    room, least = HEAD, 1 << 62
+    for r in sorted(steps, key=lambda r: -r.s):
+        room -= r.n
+        if room < 0:
+            break
+        least = r.s
+    top = sorted(short.where(step >= least).collect(), key=lambda r: (-r.c, r.word))  # at most HEAD words of HEAD_CHARS
     own = {r.word: 1 + i for i, r in enumerate(top[:OWN])}
     known = {w.encode(): k for w, k in own.items()}
     per_class = counts.mapInArrow(_class_totals(own), "k long, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
