@@ -53,7 +53,7 @@ def tiles_of(rows: DataFrame, zooms: tuple[int, int] = (13, 16)) -> DataFrame:
     """Every (z, x, y) that a footprint's box touches."""
     from ..functions.geo import tile_xy
 
-    lon, lat = (F.transform("ring", lambda p, k=k: p[k]) for k in ("lon", "lat"))
+    lon, lat = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
     z = rows.withColumn("w", F.array_min(lon)).withColumn("e", F.array_max(lon)).withColumn("s", F.array_min(lat)).withColumn("n", F.array_max(lat))
     z = z.withColumn("z", F.explode(F.sequence(F.lit(zooms[0]), F.lit(zooms[1]))))
     x0, y0 = tile_xy("w", "n", "z")
