@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 MARK = "▁"
 #: Segments in each of the two generations that a Python worker remembers.
-CACHE_SEGMENTS = 500_000
+CACHE_SEGMENTS = 350_000
+#: Rows of an output batch; bounds what ids and texts take at a time.
+ROWS = 256
 
 
 class PieceModel:
@@ -71,9 +74,9 @@ class PieceModel:
         self.bigrams = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.beside: dict[tuple[str, str], bool] = {}
         self.runs: dict[int, list[int]] = {}
-        self.young: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.tails: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.young: dict[str, str] = {}
+        self.tails: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def merge(self, symbols: list[str], steps: list[tuple[str, str]] | None = None) -> list[str]:
         """Plain merging by best score, then leftmost; for single entries and space runs."""
@@ -114,7 +117,7 @@ class PieceModel:
         key = (left, right)
         got = self.beside.get(key)
         if got is None:
-            if len(self.beside) > 1_000_000:
+            if len(self.beside) > 400_000:
                 self.beside.clear()
             score, parts = self.score, self.parts
             a, b, undone, of_right = left, right, -float("inf"), False
@@ -183,66 +186,66 @@ class PieceModel:
             return self.run(n) + [self.ids[p] for p in tokens[1:]]
         return (self.run(n - 1) if n > 1 else []) + [self.ids[p] for p in tokens]
 
-    def encode_parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Per segment, its ids and the ids joined by commas."""
+    def encode_parts(self, text: str) -> list[str]:
+        """Per word, its ids in decimal, joined by commas."""
         if not text:
             return []
         # words are keyed without their mark; one behind a line break keeps the break and has no mark
         words = text.replace("\n", " \n").split(" ")
         if "" in words or MARK in text:  # runs of spaces
-            words = self.segments.findall(MARK + text.replace(" ", MARK))
-            return [self.get_segment(s) for s in words]
+            return [self.get_segment(s) for s in self.segments.findall(MARK + text.replace(" ", MARK))]
         get = self.young.get
         out = [get(w) for w in words]
         if None in out:
             out = [got or self.remember(w) for got, w in zip(out, words)]
         return out
 
-    def get_segment(self, s: str) -> tuple[tuple[int, ...], str]:
+    def get_segment(self, s: str) -> str:
         """A segment with its marks; a word with one mark is looked up without it."""
         if s[0] == MARK and len(s) > 1 and s[1] != MARK:
             w = s[1:]
             return self.young.get(w) or self.remember(w)
-        ids = self.parts_of(s)
-        return ids, ",".join(map(str, ids))
+        return self.parts_of(s)
 
-    def parts_of(self, s: str) -> tuple[int, ...]:
+    def parts_of(self, s: str) -> str:
         """Ids of a string with its marks, cut where no entry holds both neighbours."""
         bigrams = self.bigrams
         at = len(s) - len(s.lstrip(MARK))
         cuts = [i for i in range(max(at, 1), len(s)) if s[i - 1 : i + 1] not in bigrams]
         if not cuts:
-            return tuple(self.segment(s))  # tuples of numbers leave the garbage collector's lists
-        ids: tuple[int, ...] = ()
+            return ",".join(map(str, self.segment(s)))
+        out = []
         for a, b in zip([0, *cuts], [*cuts, len(s)]):
             part = s[a:b]
             if part[0] == MARK and len(part) > 1 and part[1] != MARK:
-                ids += (self.young.get(part[1:]) or self.remember(part[1:]))[0]  # mostly a word before punctuation
+                got = self.young.get(part[1:]) or self.remember(part[1:])  # mostly a word before punctuation
             else:
                 got = self.tails.get(part)
                 if got is None:
                     if len(self.tails) >= CACHE_SEGMENTS:
                         self.tails.clear()
-                    got = tuple(self.segment(part))
+                    got = ",".join(map(str, self.segment(part)))
                     if len(part) < 64:
                         self.tails[part] = got
-                ids += got
-        return ids
+            out.append(got)
+        return ",".join(out)
 
-    def remember(self, w: str) -> tuple[tuple[int, ...], str]:
+    def remember(self, w: str) -> str:
         """Ids of a word that the young generation does not hold."""
-        got = self.old.get(w)
-        if got is None:
-            ids = self.parts_of(w) if w[0] == "\n" else self.parts_of(MARK + w)
-            got = (ids, ",".join(map(str, ids)))
+        got = self.old.get(w) or (self.parts_of(w) if w[0] == "\n" else self.parts_of(MARK + w))
         if len(w) < 64:
             if len(self.young) >= CACHE_SEGMENTS:
                 self.old, self.young = self.young, {}
             self.young[w] = got
         return got
 
+    def encode_text(self, text: str) -> str:
+        """All ids of a text in decimal, joined by commas."""
+        return ",".join(self.encode_parts(text))
+
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.encode_parts(text) for i in ids]
+        joined = self.encode_text(text)
+        return list(map(int, joined.split(","))) if joined else []
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -273,25 +276,26 @@ def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = (
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
-        for b in batches:
-            n, digest, back, all_ids, texts = [], [], [], [], []
-            for t in b.column("__text"):
-                parts = m.encode_parts(t.as_py())
-                flat: list[int] = []
-                for p, _ in parts:
-                    flat += p
-                decoded = m.decode(flat)
-                n.append(len(flat))
-                digest.append(hashlib.sha256(",".join([j for _, j in parts]).encode()).hexdigest())
-                back.append(hashlib.sha256(decoded.encode()).hexdigest())
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                n, digest, back, all_ids, texts = [], [], [], [], []
+                for t in b.column("__text"):
+                    joined = m.encode_text(t.as_py())
+                    flat = list(map(int, joined.split(","))) if joined else []
+                    decoded = m.decode(flat)
+                    n.append(len(flat))
+                    digest.append(hashlib.sha256(joined.encode()).hexdigest())
+                    back.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if ids:
+                        all_ids.append(pa.array(flat, pa.int32()))
+                        texts.append(decoded)
+                cols = [b.column(k) for k in keep] + [pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+                names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    all_ids.append(flat)
-                    texts.append(decoded)
-            cols = [b.column(k) for k in keep] + [pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                    offsets = pa.array([0, *accumulate(n)], pa.int32())
+                    cols += [pa.ListArray.from_arrays(offsets, pa.concat_arrays(all_ids)), pa.array(texts, pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return src.mapInArrow(run, out_schema)

@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 PIECE_MODEL = os.environ.get("GEOLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+#: Rows of an Arrow batch where the session sets none: texts may be long.
+BATCH_ROWS = 1024
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
