@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
+
 CHUNK = 512  # bytes of a chunk
 STEP = 384  # bytes from chunk to chunk, so neighbours overlap by 128
 TAPS, STRIDE = 8, 4
@@ -224,14 +226,14 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, rows:
     """
     train_rows = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y")).where("__id is not null and y in (0, 1)")
     train_rows = train_rows.where(F.crc32(F.col("__id").cast("string").cast("binary")) % folds != fold)
-    picked = [train_rows.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(rows) for y in (0, 1)]
+    picked = [least_hashed(train_rows.where(F.col("y") == y), "__id", rows) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
     most = 64 * STEP
     text = F.coalesce("text", F.lit("")).cast("binary")
     joined = docs.select(F.col("doc_id").alias("__id"), text.alias("t")).join(F.broadcast(chosen), "__id")
     # a long text gives its first and last bytes to the sample; scoring reads all of it
     part = F.when(F.length("t") <= most, F.col("t")).otherwise(F.concat(F.substring("t", 1, most // 2), F.expr(f"substring(t, -{most // 2}, {most // 2})")))
-    sample = joined.select("__id", "y", part.alias("t")).orderBy(F.xxhash64("__id"), "__id").limit(2 * rows).collect()
+    sample = joined.select("__h", "__id", "y", part.alias("t")).orderBy("__h", "__id").limit(2 * rows).collect()
     return train([bytes(r.t) for r in sample], np.array([r.y for r in sample]))
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
+
 # A small general lexicon and words of the second person.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "dumb", "clown", "jerk", "fool", "hate")
 SECOND = (
@@ -262,12 +264,12 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5, rows:
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("y")).where("__id is not null and y in (0, 1)")
     known = known.where(F.crc32(F.col("__id").cast("string").cast("binary")) % folds != fold)
-    picked = [known.where(F.col("y") == v).orderBy(F.xxhash64("__id"), "__id").limit(rows) for v in (0, 1)]
+    picked = [least_hashed(known.where(F.col("y") == v), "__id", rows) for v in (0, 1)]
     t = F.coalesce("text", F.lit(""))
     half = SAMPLE_BYTES // 2
     part = F.when(F.length(t) <= SAMPLE_BYTES, t).otherwise(F.concat(F.substring(t, 1, half), F.lit(" "), F.substring(t, -half, half)))
     sample = docs.select(F.col("doc_id").alias("__id"), part.alias("t")).join(F.broadcast(picked[0].unionByName(picked[1])), "__id")
-    got = sample.orderBy(F.xxhash64("__id"), "__id").limit(2 * rows).collect()
+    got = sample.orderBy("__h", "__id").limit(2 * rows).collect()
     return train([r["__id"] for r in got], [r.t for r in got], np.array([r.y for r in got], np.float64))
 
 
