@@ -33,6 +33,12 @@ def needed_nodes(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     return nodes.where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).join(ways.select(F.col("node").alias("id")), "id", "left_semi")
 
 
+def latest_positions(nodes: DataFrame) -> DataFrame:
+    """One position per node id, the last by ``ordinal``; invalid ones do not count."""
+    ok = nodes.where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
+    return ok.groupBy("id").agg(F.max_by(F.struct("lat", "lon"), "ordinal").alias("p")).select("id", "p.lat", "p.lon")
+
+
 def place_ways(ways: DataFrame, positions: DataFrame) -> DataFrame:
     """Address rows of ways with the position of their node; unresolved ways vanish."""
     p = positions.select(F.col("id").alias("node"), "lat", "lon")

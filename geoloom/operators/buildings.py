@@ -71,3 +71,31 @@ def points_in_rings(points: DataFrame, rings: DataFrame, z: int = 16) -> DataFra
     r = tiles_of(rings, (z, z)).select("id", "ring", "x", "y")
     ring = F.transform("ring", lambda q: F.struct(q["lon"].alias("x"), q["lat"].alias("y")))
     return p.join(r, ["x", "y"]).where(in_ring(F.col("plon"), F.col("plat"), ring)).select("pid", "id")
+
+
+def vector_tiles(rows: DataFrame, zooms: tuple[int, int] = (13, 16), layer: str = "buildings", extent: int = 4096, batch: int = 20_000) -> DataFrame:
+    """Vector tiles of footprints: z, x, y, part, tile.
+
+    Rings are projected by columns; a task packs at most ``batch`` footprints, so
+    a crowded tile comes in parts, which readers of the format may join end to end.
+    """
+    import pandas as pd
+
+    from ..functions.binary import write_tile
+    from ..functions.geo import tile_fraction
+
+    t = tiles_of(rows, zooms)
+
+    def pixel(p):  # noqa: ANN001, ANN202
+        fx, fy = tile_fraction(p["lon"], p["lat"], F.col("z"))
+        return F.struct(F.round((fx - F.col("x")) * extent).cast("int").alias("px"), F.round((fy - F.col("y")) * extent).cast("int").alias("py"))
+
+    sizes = t.groupBy("z", "x", "y").agg(F.ceil(F.count("*") / batch).cast("int").alias("parts"))
+    t = t.join(sizes, ["z", "x", "y"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    t = t.select("z", "x", "y", "part", "hoehe", F.transform("ring", pixel).alias("pts"))
+
+    def pack(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        shapes = [([(q["px"], q["py"]) for q in ring[:-1]], {"hoehe": str(h)}) for ring, h in zip(f["pts"], f["hoehe"])]
+        return pd.DataFrame({"z": [key[0]], "x": [key[1]], "y": [key[2]], "part": [key[3]], "tile": [write_tile({layer: shapes}, extent)]})
+
+    return t.groupBy("z", "x", "y", "part").applyInPandas(pack, "z int, x bigint, y bigint, part int, tile binary")

@@ -93,3 +93,22 @@ def dark_share(pixels: DataFrame) -> DataFrame:
     """Share of black opaque pixels."""
     black = (F.col("r") == 0) & (F.col("g") == 0) & (F.col("b") == 0) & (F.col("a") == 255)
     return pixels.agg(F.avg(F.when(black, 1.0).otherwise(0.0)).alias("dark"))
+
+
+def png_tiles(cells: DataFrame, size: int = TILE) -> DataFrame:
+    """Terrain pictures of whole tiles (tx, ty, ix, iy, h), gaps filled: tx, ty, png.
+
+    A tile has size x size cells, so a group is bounded.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.binary import encode_png
+
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rgb = np.zeros((size, size, 3), np.uint8)
+        rgb[rows["iy"], rows["ix"]] = rows[["r", "g", "b"]].to_numpy()
+        return pd.DataFrame({"tx": [key[0]], "ty": [key[1]], "png": [encode_png(rgb.tobytes(), size, size)]})
+
+    rows = encode(fill_gaps(cells, ["tx", "ty"])).select("tx", "ty", "ix", "iy", "r", "g", "b")
+    return rows.groupBy("tx", "ty").applyInPandas(draw, "tx bigint, ty bigint, png binary")

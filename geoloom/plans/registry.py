@@ -628,12 +628,12 @@ def terrain_resample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("terrain_sample", CD + """r as (select px, py, avg(h) h from c group by all), p as (select c_custkey id, (c_custkey % 250) + 0.25::double fx, (c_custkey * 7 % 250) + 0.5::double fy from customer),
 k as (select id, cast(floor(fx) as bigint) + a px, cast(floor(fy) as bigint) + b py, abs(1 - a - (fx - floor(fx))) * abs(1 - b - (fy - floor(fy))) w from p, (select unnest([0, 1]) a), (select unnest([0, 1]) b))
-select id, round(sum(h * w) / sum(w), 6) h from k join r using (px, py) group by id""")
+select id, round(sum(h * w) / sum(w), 9) h from k join r using (px, py) group by id""")
 def terrain_sample(spark: SparkSession, sf: str) -> DataFrame:
     r = _sql(spark, sf, CELLS).groupBy("px", "py").agg(F.avg("h").alias("h"))
     i = F.col("c_custkey")
     p = table(spark, sf, "customer").select(i.alias("id"), (i % 250 + 0.25).cast("double").alias("fx"), (i * 7 % 250 + 0.5).cast("double").alias("fy"))
-    return terrain.bilinear(p, r).withColumn("h", F.round("h", 6))
+    return terrain.bilinear(p, r).withColumn("h", F.round("h", 9))
 
 
 @query("dark_share", "select round(avg(case when l_orderkey % 5 = 0 and l_partkey % 2 = 0 then 1.0 else 0.0 end), 9) dark from lineitem")
@@ -732,6 +732,31 @@ def line_gap(spark: SparkSession, sf: str) -> DataFrame:
     return _round(route.largest_gap(a, b), "abweichung", n=4)
 
 
+@query("rate_slots", SD + """i as (select id, k * 1.0::double t, row_number() over (partition by id order by k, event_id) n from s)
+select id, n, round(max(t - (n - 1) * 0.5::double) over (partition by id order by n) + (n - 1) * 0.5::double, 6) s from i""")
+def rate_slots(spark: SparkSession, sf: str) -> DataFrame:
+    s = _sql(spark, sf, SERIES).groupBy("id").agg(F.array_sort(F.collect_list(F.col("k").cast("double"))).alias("t"))
+    return s.select("id", F.posexplode(geo.slots(F.col("t"), 2.0)).alias("n", "s")).select("id", (F.col("n") + 1).cast("bigint").alias("n"), F.round("s", 6).alias("s"))
+
+
+@query("building_control", "select l_orderkey % 50 tile, count(*) n, round(median(l_quantity), 1) median, max(l_quantity) max from lineitem group by 1")
+def building_control(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 50).alias("tile"), F.col("l_quantity").alias("hoehe"))
+    return buildings.tile_control(b)
+
+
+@query("supersample", CD + "v as (select px // 8 px, py // 8 py, h from c) select px, py, round(avg(h), 9) h, count(*) n from v group by all")
+def supersample(spark: SparkSession, sf: str) -> DataFrame:
+    c = terrain.halve(_sql(spark, sf, CELLS).select("px", "py", "h"), 8)
+    return c.select("px", "py", F.round("h", 9).alias("h"), F.col("n").cast("bigint").alias("n"))
+
+
+@query("node_positions", "with n as (select o_custkey id, o_orderkey ordinal, o_totalprice / 10000 lat from orders) select id, arg_max(lat, ordinal) lat from n where lat <= 40 group by id")
+def node_positions(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("ordinal"), (F.col("o_totalprice") / 10000).alias("lat"), F.lit(7.0).alias("lon"))
+    return address.latest_positions(n.where("lat <= 40")).select("id", "lat")
+
+
 # --- generic forms --------------------------------------------------------
 
 
@@ -798,6 +823,12 @@ def mvt_decode(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("n_nationkey", "layer", *(F.element_at("attrs", F.lit(k)).alias(k) for k in ("kind", "min_zoom", "new")))
 
 
+@query("png_tiles")
+def png_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    c = _sql(spark, sf, CELLS).groupBy("px", "py").agg(F.max("h").alias("h"))
+    return terrain.png_tiles(terrain.cut_tiles(c, 8), 8).select("tx", "ty", F.length("png").alias("bytes"))
+
+
 @query("xml_buildings")
 def xml_buildings(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.files import buildings_of

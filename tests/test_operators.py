@@ -205,6 +205,32 @@ def test_stages(spark, tmp_path):
     assert calls.count(3) == 1
 
 
+def test_index_build(spark, sf, tmp_path):
+    from geoloom.plans import index_build, registry
+
+    nodes, ways = (registry._sql(spark, sf, q) for q in (registry.OSM_NODES, registry.OSM_WAYS))
+    folder = f"file://{tmp_path}/index"
+    assert set(index_build.build(spark, nodes, ways, folder).values()) == {"done"}
+    assert set(index_build.build(spark, nodes, ways, folder).values()) == {"skipped"}
+    n, raw_n = spark.read.parquet(f"{folder}/numbers").count(), spark.read.parquet(f"{folder}/raw").count()
+    assert 0 < n <= raw_n
+
+
+def test_vector_tiles_and_pngs(spark):
+    from geoloom.functions.binary import tile_features
+    from geoloom.operators import terrain
+
+    ring = [{"lon": lon, "lat": lat} for lon, lat in ((7.0, 51.0), (7.001, 51.0), (7.001, 51.001), (7.0, 51.0))]
+    b = spark.createDataFrame([(str(i), 4.5, ring) for i in range(5)], "id string, hoehe double, ring array<struct<lon:double,lat:double>>")
+    rows = buildings.vector_tiles(b, (14, 14), batch=2).collect()
+    assert sum(len(list(tile_features(bytes(r.tile)))) for r in rows) == 5 * len({(r.z, r.x, r.y) for r in rows})
+    assert all(a == {"hoehe": "4.5"} for r in rows for _, _, a in tile_features(bytes(r.tile)))
+    cells = spark.createDataFrame([(0, 0, i % 2, i // 2, None if i == 3 else 10.0 * i) for i in range(4)], "tx long, ty long, ix long, iy long, h double")
+    png = bytes(terrain.png_tiles(cells, 2).first().png)
+    pix = zlib.decompress(png[png.index(b"IDAT") + 4 : png.index(b"IEND") - 8])
+    assert pix == bytes([0, 128, 0, 0, 128, 10, 0, 0, 128, 20, 0, 128, 10, 0])  # the gap is the mean, 10 m
+
+
 def test_stream(spark, tmp_path):
     from geoloom.streaming import trips
 
