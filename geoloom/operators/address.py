@@ -65,12 +65,12 @@ def _numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     and each partition starts where the ones before end.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    w = Window.partitionBy("__part").orderBy(*order)
-    parted = ranged.withColumn("__part", F.spark_partition_id()).persist()
+    row = F.monotonically_increasing_id()  # the part above 33 bits, the row within it below
+    parted = ranged.withColumn("__row", row).withColumn("__part", F.shiftright("__row", 33)).persist()
     counts = parted.groupBy("__part").agg(F.count("*").alias("__n"))
     first = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__first"))  # one row per partition
-    out = parted.withColumn("__i", F.row_number().over(w)).join(F.broadcast(first), "__part")
-    return out.withColumn(name, (F.col("__first") + F.col("__i")).cast("bigint")).drop("__part", "__i", "__first")
+    within = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    return parted.join(F.broadcast(first), "__part").withColumn(name, F.col("__first") + within + 1).drop("__part", "__row", "__first")
 
 
 def place_index(raw: DataFrame) -> DataFrame:
