@@ -357,7 +357,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), texts:
     long_ = source.where(F.length("text") >= LENGTH)
 
     spans = long_.select("k", "text").mapInArrow(_spans, "h long, sh long, k long, pos long")
-    often = spans.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # counted apart from the join, so that a hot anchor's rows can be split there
+    often = stash(spans.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeat-often")
     again = stash(spans.join(often, "h"), "repeat-spans")
 
     kinds = again.groupBy("h", "sh").agg(F.count("*").alias("c"), F.min(F.struct("k", "pos")).alias("one"))
