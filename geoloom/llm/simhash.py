@@ -11,8 +11,7 @@ A segment value that many fingerprints share would make pairs with the square
 of its size.  Such hot buckets take another exact way: every member names
 itself and all its one-bit neighbours outside the equal segment; two members
 within two bits name a common value, and members are linked to the smallest
-that names it.  That is linear in the members.  For radii over two the hot
-buckets are first parted by the next segments of the chain.
+that names it.  That is linear in the members.
 """
 
 from __future__ import annotations
@@ -87,10 +86,10 @@ def links(fps: DataFrame, radius: int = 2, hot: int = 64) -> DataFrame:
     over a value that both are next to.
 
     ``hot`` is the size over which a bucket takes the linear way; both ways are
-    exact for radius 2 or less, which is the most that is allowed here.
+    exact for radius 1 and 2, the only ones allowed here.
     """
-    if not 0 <= radius <= 2:
-        raise ValueError("radius must be 0, 1 or 2")
+    if radius not in (1, 2):
+        raise ValueError("radius must be 1 or 2; equal fingerprints are one row")
     m = radius + 1
     masks = _segments(m)
     # each chain: the masks of its first 1, 2, .. segments with the bits they may differ in
@@ -111,14 +110,15 @@ def links(fps: DataFrame, radius: int = 2, hot: int = 64) -> DataFrame:
 
     flips = F.array(*[_long(0)] + [_long((1 << j) - (1 << 64) if j == 63 else 1 << j) for j in range(64)])
     seg = F.element_at(F.array(*map(_long, masks)), F.col("i") + 1)
-    named = (
-        keyed.where(F.col("n") > hot)
-        .select("i", "fp", F.explode(F.filter(flips, lambda x: x.bitwiseAND(seg) == 0)).alias("flip"))
-        .select("i", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("name"))
-    )
-    first = named.groupBy("i", "name").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    stars = named.join(first, ["i", "name"]).where(F.col("least") < F.col("fp")).select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct() if radius == 2 else pairs.unionByName(stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).distinct()
+    named = keyed.where(F.col("n") > hot).select("i", "fp", F.explode(F.filter(flips, lambda x: x.bitwiseAND(seg) == 0)).alias("flip"))
+    if radius == 2:  # a value one bit away or none
+        named = named.select("i", "fp", F.lit(0).cast("long").alias("bit"), F.col("fp").bitwiseXOR(F.col("flip")).alias("name"))
+    else:  # the value without one bit: its two bearers are one bit apart
+        named = named.where("flip <> 0").select("i", "fp", F.col("flip").alias("bit"), F.col("fp").bitwiseAND(F.bitwise_not("flip")).alias("name"))
+    key = ["i", "bit", "name"]
+    first = named.groupBy(*key).agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
+    stars = named.join(first, key).where(F.col("least") < F.col("fp")).select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    return pairs.unionByName(stars).distinct()
 
 
 def components(docs: DataFrame, words: int = 3, radius: int = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -112,16 +112,16 @@ def test_simhash_brute_force(docs, odd):
         assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
 
 
-@pytest.mark.parametrize("hot", [2, 6, 1000])
-def test_links_hot_and_cold(spark, hot):
+@pytest.mark.parametrize(("hot", "radius"), [(2, 2), (6, 2), (1000, 2), (2, 1), (1000, 1)])
+def test_links_hot_and_cold(spark, hot, radius):
     r = np.random.default_rng(2)
     x = np.repeat(r.integers(0, 2**63, 8, dtype=np.uint64), 40)
     for _ in range(2):
         x = x ^ (np.uint64(1) << r.integers(0, 64, len(x), dtype=np.uint64))
     x = np.unique(x).view(np.int64).tolist()
-    links = simhash.links(spark.createDataFrame([(v,) for v in x], "fp long"), 2, hot)
+    links = simhash.links(spark.createDataFrame([(v,) for v in x], "fp long"), radius, hot)
     got = {r.node: r.component for r in common.connected_components(links).collect()}
-    assert [got.get(v, v) for v in x] == component_ids(x, [v % (1 << 64) for v in x])
+    assert [got.get(v, v) for v in x] == component_ids(x, [v % (1 << 64) for v in x], radius)
 
 
 def test_simhash_empty(spark, empty):
