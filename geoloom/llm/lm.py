@@ -38,7 +38,7 @@ FORMS = 64
 CLASSES = 1 + OWN + FORMS  # class 0 is the end of text
 #: Words whose counts are broadcast; longer words than HEAD_CHARS are left to the join.
 HEAD, HEAD_CHARS = 150_000, 48
-DIM, NOISE, BATCH, STEPS = 24, 25, 4096, 700
+DIM, NOISE, BATCH, STEPS = 24, 25, 2048, 700
 #: Distinct words a counting task holds before it passes them on.
 HELD_WORDS = 300_000
 
@@ -143,6 +143,8 @@ def train(code: np.ndarray, n: np.ndarray, seed: int = 3) -> np.ndarray:
         "r": r.normal(size=(k, DIM)) * 0.1, "q": r.normal(size=(k, DIM)) * 0.1, "b": np.log(noise),
         "c1": np.eye(DIM) * 0.5, "c2": np.eye(DIM) * 0.5,
     }
+    p = {a: v.astype(np.float32) for a, v in p.items()}
+    log_noise = log_noise.astype(np.float32)
     m1, m2 = {a: np.zeros_like(v) for a, v in p.items()}, {a: np.zeros_like(v) for a, v in p.items()}
     mass = np.cumsum(n) / max(1, n.sum()) if len(code) else None
     noise_mass = np.cumsum(noise)
@@ -151,7 +153,7 @@ def train(code: np.ndarray, n: np.ndarray, seed: int = 3) -> np.ndarray:
         h1, h2, w = pick // (k * k), pick // k % k, pick % k
         fake = np.minimum(np.searchsorted(noise_mass, r.random(BATCH * NOISE // 25)), k - 1)
         # the noise samples are shared by the batch and weighted, so products stay matrices
-        weight = np.bincount(fake, minlength=k) * (NOISE / len(fake))
+        weight = (np.bincount(fake, minlength=k) * (NOISE / len(fake))).astype(np.float32)
         e1, e2 = p["r"][h1], p["r"][h2]
         hat = e1 @ p["c1"] + e2 @ p["c2"]
         s = hat @ p["q"].T + p["b"]
@@ -166,11 +168,12 @@ def train(code: np.ndarray, n: np.ndarray, seed: int = 3) -> np.ndarray:
         np.add.at(d_r, h1, d_hat @ p["c1"].T)
         np.add.at(d_r, h2, d_hat @ p["c2"].T)
         grad["r"] = d_r
-        lr = 0.02 * (1 - step / (STEPS + 1))
+        lr = np.float32(0.02 * (1 - step / (STEPS + 1)))
         for a, v in grad.items():
             m1[a] = 0.9 * m1[a] + 0.1 * v
             m2[a] = 0.99 * m2[a] + 0.01 * v * v
-            p[a] = p[a] - lr * (m1[a] / (1 - 0.9**step)) / (np.sqrt(m2[a] / (1 - 0.99**step)) + 1e-8)
+            p[a] = p[a] - lr * (m1[a] / np.float32(1 - 0.9**step)) / (np.sqrt(m2[a] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+    p = {a: v.astype(np.float64) for a, v in p.items()}
     first, second = p["r"] @ p["c1"], p["r"] @ p["c2"]
     out = np.empty((k * k, k), np.float32)
     for a in range(k):  # all contexts, a matrix product for each first class
