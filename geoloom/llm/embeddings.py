@@ -32,13 +32,23 @@ TILE = 2048
 SLACK = 1e-7
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length, without nulls, as rows of doubles."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whether a vector can link: not null, no null or non-finite part, not zero."""
     for b in batches:
-        ok = []
-        for v in b.column("v").to_pylist():
-            x = None if v is None or None in v else np.array(v, np.float64)
-            ok.append(x is not None and len(x) > 0 and bool(np.isfinite(x).all()) and bool((x != 0).any()))
+        v = b.column("v")
+        size = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = v.flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # a null part becomes NaN
+        owner = np.repeat(np.arange(len(v)), size)
+        bad = np.bincount(owner[~np.isfinite(x)], minlength=len(v)) > 0
+        some = np.bincount(owner[x != 0], minlength=len(v)) > 0
+        ok = some & ~bad
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), b.column("v"), pa.array(ok)], names=["id", "label", "v", "ok"])
 
 
@@ -46,11 +56,9 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and dimension count, the sum of outer products of unit vectors."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        by: dict[int, list] = {}
-        for v in b.column("v").to_pylist():
-            by.setdefault(len(v), []).append(v)
-        for d, rows in by.items():
-            x = unit(np.array(rows, np.float64))
+        size = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
+        for d in np.unique(size).tolist():
+            x = unit(matrix(b.column("v").filter(pa.array(size == d))))
             sums[d] = sums.get(d, 0) + x.T @ x
     for d, m in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([d] * d), pa.array(range(d)), pa.array(m.tolist())], names=["d", "i", "row"])
@@ -89,14 +97,12 @@ def _cells(rot: dict[int, np.ndarray], budget: float):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: dict[int, list[int]] = {}
-            vs = b.column("v").to_pylist()
-            for i, v in enumerate(vs):
-                rows.setdefault(len(v), []).append(i)
-            for d, idx in rows.items():
-                parts = blocks_of(np.array([vs[i] for i in idx], np.float64), rot[d])
-                width = float(np.sqrt(budget / len(parts))) + SLACK
+            size = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(size).tolist():
+                idx = np.flatnonzero(size == d)
                 take = b.take(pa.array(idx))
+                parts = blocks_of(matrix(take.column("v")), rot[d])
+                width = float(np.sqrt(budget / len(parts))) + SLACK
                 for k, p in enumerate(parts):
                     cell = np.floor(p[:, 0] / width).astype(np.int64)
                     m = len(idx)
@@ -116,7 +122,7 @@ def _tile(rot: dict[int, np.ndarray], cosine: float):  # noqa: ANN202
         d, blk = key[3].as_py(), key[1].as_py()
         same = key[6].as_py()
         side = t.column("side").to_numpy()
-        x = np.array(t.column("v").to_pylist(), np.float64)
+        x = matrix(t.column("v"))
         ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
         parts = blocks_of(x, rot[d])
         share = budget / len(parts) + SLACK
@@ -175,7 +181,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be in (0, 1]")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
+    if rows.schema["v"].dataType.simpleString() not in ("array<float>", "array<double>"):
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
     schema = rows.withColumn("ok", F.lit(True)).schema
     rows = stash(rows.mapInArrow(_usable, schema).withColumn("ok", F.col("ok") & F.col("label").isNotNull()), "vectors")
     # equal vectors of a label are one row, named by a digest of both
