@@ -111,4 +111,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embeddings": op10_embeddings,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat": r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+r as (select *, length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e')) body, case when role in ('system', 'user', 'assistant') then length(role)
+  else 1 + length(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c')) end head from c),
+g as (select conv_id, count(*) n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn) turns,
+  coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn), '') loss, cast(sum(4 + head + 2 + body + 8) as bigint) formatted_chars from r group by conv_id)
+select conv_id, n_turns, sha256(turns) turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256, formatted_chars from g""",
+}
