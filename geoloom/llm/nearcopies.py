@@ -10,8 +10,9 @@ is verified by the exact Jaccard similarity of the shingle sets.
 
 Equal texts are one class.  In every candidate group the classes are held
 against a leader, the class with most copies; in a group of up to ``ALL`` classes
-all pairs that the leaders leave apart are verified too, and in a larger one all
-classes are held against the most central one as well, whose bags are shared most.  At similarity 0.8
+all pairs that the leaders leave apart are verified too.  In a larger one all
+classes are held against the most central one as well, whose bags are shared most;
+what is apart then is resolved exactly by a prefix filter (``_large``).  At similarity 0.8
 the 16 bags of mean size 4 to 8 and the 16 of half that size miss a pair with
 a probability under one in ten thousand.
 """
@@ -31,6 +32,7 @@ from .simhash import SEED, links
 WORDS = 5
 BAGS = 16
 ALL = 32
+TILE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,7 +135,95 @@ def group_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     few = stash(few, "near-few")
     a, b = few.select("g", F.col("k").alias("a"), F.col("c").alias("ca")), few.select("g", F.col("k").alias("b"), F.col("c").alias("cb"))
     more = _similar(sets, a.join(b, "g").where("a < b and ca <> cb").select("a", "b"), similarity)
-    return connected_components(edges.unionByName(more)).select(F.col("node").alias("k"), F.col("component").alias("c"))
+    edges = stash(edges.unionByName(more), "near-edges")
+    return _large(sets, members.where(F.col("size") > ALL).select("g", "k"), edges, similarity).select(F.col("node").alias("k"), F.col("component").alias("c"))
+
+
+def _open(large: DataFrame, components: DataFrame) -> DataFrame:
+    """Members (g, k, c) of the large groups that are not one component yet."""
+    m = large.join(components.withColumnRenamed("node", "k"), "k", "left").select("g", "k", F.coalesce("component", "k").alias("c"))
+    return m.join(m.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g"), "g")
+
+
+def _large(sets: DataFrame, large: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """Components after all pairs of the large groups, too.
+
+    In an order of hashes by frequency, two similar sets share one among their
+    first ``n - ceil(similarity * n) + 1``.  If it is a rare one (in up to ``ALL``
+    sets), a join finds the pair.  If not, they share no rare one, and both have
+    few: these are compared in tiles.
+    """
+    so_far = stash(connected_components(edges), "near-so-far")
+    left = stash(_open(large, so_far), "near-open")
+    if left.isEmpty():
+        return so_far
+    docs = left.select("k", "c").distinct()
+    mine = stash(sets.join(docs, "k").withColumn("n", (F.length("s") / 4).cast("int")), "near-open-sets")
+    hashes = mine.select("k", "s").mapInArrow(_hashes, "k long, w long")
+    rare = hashes.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") <= ALL)
+    rare = hashes.join(rare.hint("merge"), "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
+    mine = mine.join(rare, "k", "left").withColumn("rare", F.coalesce(F.size("r"), F.lit(0))).withColumn("rare", F.greatest("rare", F.lit(0))).withColumn("first", first)
+    mine = stash(mine, "near-rare")
+    keys = mine.where("rare > 0").select("k", "c", F.explode(F.slice("r", F.lit(1), F.col("first"))).alias("x")).where("x.df > 1").select("k", "c", F.col("x.w").alias("w"))
+    keys = stash(keys, "near-prefix")
+    a, b = keys.select("w", F.col("k").alias("a"), F.col("c").alias("ca")), keys.select("w", F.col("k").alias("b"), F.col("c").alias("cb"))
+    edges = stash(edges.unionByName(_similar(sets, a.join(b, "w").where("a < b and ca <> cb").select("a", "b"), similarity)), "near-edges")
+    so_far = stash(connected_components(edges), "near-so-far")
+    reach = mine.where("rare < first").select("k", "s", "rare")
+    left = stash(_open(large.join(reach.select("k"), "k", "left_semi"), so_far), "near-open")
+    if left.isEmpty():
+        return so_far
+    # groups of the same members are one
+    groups = left.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("h"))
+    groups = groups.groupBy("n", "h").agg(F.min("g").alias("g")).select("g", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    tiled = left.join(groups, "g").withColumn("t", F.pmod(F.xxhash64("k", F.lit(1)), F.col("tiles")).cast("int"))
+    tiled = tiled.join(reach, "k").withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select("g", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "k", "c", "s", "rare")
+    found = tiled.groupBy("g", "i", "j").applyInArrow(_tile(similarity), "a long, b long")
+    return connected_components(edges.unionByName(found))
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k, s in zip(b.column("k").to_pylist(), b.column("s")):
+            w = np.frombuffer(s.as_py(), np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), k, np.int64)), pa.array(w)], names=["k", "w"])
+
+
+def _tile(least: float):  # noqa: ANN202
+    """Links between the components of a tile (or of two) whose pairs share no rare hash."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        t, i, j = rows.column("t").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        k, c, rare = (rows.column(x).to_numpy() for x in ("k", "c", "rare"))
+        sets = [np.frombuffer(s.as_py(), np.uint32) for s in rows.column("s")]
+        n = np.array([len(s) for s in sets], np.int64)
+        start = np.concatenate(([0], np.cumsum(n)))
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark = np.zeros(ids.max(initial=0) + 1, np.int64)
+        c = np.unique(c, return_inverse=True)[1]
+        ends = []
+        for x in np.flatnonzero(t == i):
+            other = c != c[x]
+            if i != j:
+                other &= t == j
+            # what both share is no rare hash, so rare ones only count to the union
+            most = np.minimum(n[x] - rare[x], n - rare)
+            ys = np.flatnonzero(other & (most >= least * (np.maximum(n[x] - rare[x], n - rare) + rare[x] + rare) - 1e-9))
+            if not len(ys):
+                continue
+            mark[ids[start[x] : start[x + 1]]] = 1
+            both = np.array([mark[ids[start[y] : start[y + 1]]].sum() for y in ys])
+            mark[ids[start[x] : start[x + 1]]] = 0
+            for y in ys[both >= least * (n[x] + n[ys] - both) - 1e-9]:
+                if c[x] != c[y]:
+                    ends.append((k[x], k[y]))
+                    c[c == c[y]] = c[x]
+        ends = np.array(ends, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    return run
 
 
 def _similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:

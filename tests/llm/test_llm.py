@@ -161,6 +161,55 @@ def test_near_copies(spark, docs, odd, empty):
     assert nearcopies.keep_one(empty).count() == 0
 
 
+def similar_pairs(sets, least=0.8):
+    at = range(len(sets))
+    return [(i, j) for i in at for j in at[:i] if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9]
+
+
+def test_near_copies_of_a_template(spark):
+    # many texts that share 170 of 200 shingles are no near copies, but each has one of its own
+    r = random.Random(41)
+    word = lambda: f"w{r.randrange(10**9)}"
+    template, texts = [word() for _ in range(174)], []
+    for _ in range(60):
+        mine = template + [word() for _ in range(30)]
+        texts += [mine, mine[:184] + [word() for _ in range(20)]]
+    texts = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = [set(nearcopies.shingle_hashes(t.encode()).tolist()) for _, t in texts]
+    u = Union(len(sets))
+    for i, j in similar_pairs(sets):
+        u.join(i, j)
+    want = {u.find(i) for i in range(len(sets))}
+    assert len(want) == 60
+    classes = {x.k: x.c for x in nearcopies.group_classes(spark.createDataFrame(texts, DOC)).collect()}
+    assert len(classes) == 120 and len(set(classes.values())) == 60
+    assert nearcopies.keep_one(spark.createDataFrame(texts, DOC)).count() == 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_large_group_without_leaders(spark, seed, monkeypatch):
+    monkeypatch.setattr(nearcopies, "TILE", 16)
+    r = np.random.default_rng(seed)
+    # hashes that most sets have, and few or no rare ones: only the tiles find these pairs
+    sets = []
+    for i in range(150):
+        common = r.choice(60, r.integers(44, 60), replace=False)
+        sets.append(set(common.tolist()) | set(range(1000 + i * 20, 1000 + i * 20 + int(r.integers(0, 12)))))
+    sets += [set(range(10**6 + i * 10, 10**6 + i * 10 + 9 - j)) for i in range(20) for j in (0, 1)] + [set(), set()]
+    u = Union(len(sets))
+    for i, j in similar_pairs(sets):
+        u.join(i, j)
+    df = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint32).tobytes())) for i, s in enumerate(sets)], "k long, s binary")
+    got = nearcopies._large(df, df.select(F.lit(7).cast("long").alias("g"), "k"), spark.createDataFrame([], "a long, b long"), 0.8)
+    c = {x.node: x.component for x in got.collect()}
+    want = [u.find(i) for i in range(len(sets))]
+    assert len(set(want)) > 20
+    same = defaultdict(set)
+    for i, w in enumerate(want):
+        same[w].add(c.get(i, i))
+    assert all(len(x) == 1 for x in same.values()) and len(set.union(*same.values())) == len(same)
+
+
 # --- decontamination ------------------------------------------------------
 
 
