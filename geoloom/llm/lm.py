@@ -9,8 +9,8 @@ so unseen words have one too, and the probabilities of all words sum to one.
 The model predicts a class vector as the sum of the two context vectors, each
 through its own matrix, and scores it against the class's output vector and
 bias.  It is trained in numpy by noise-contrastive estimation on the class
-trigrams of all training documents; their table has at most CLASSES**3 rows,
-whatever the corpus.  Matrix products over all contexts then give the
+trigrams of all training documents, in whole passes over their table, which has
+at most CLASSES**3 rows whatever the corpus.  Matrix products over all contexts then give the
 normalised log-probabilities, which scoring looks up.
 
 Counts of words cover all training documents.  The HEAD most frequent words
@@ -38,7 +38,9 @@ FORMS = 64
 CLASSES = 1 + OWN + FORMS  # class 0 is the end of text
 #: Words whose counts are broadcast; longer words than HEAD_CHARS are left to the join.
 HEAD, HEAD_CHARS = 150_000, 48
-DIM, NOISE, BATCH, STEPS = 24, 25, 2048, 700
+DIM, NOISE, BATCH = 24, 25, 4096
+#: Least number of training steps; a whole pass over the trigrams if that is more.
+STEPS = 700
 #: Distinct words a counting task holds before it passes them on.
 HELD_WORDS = 300_000
 
@@ -132,6 +134,29 @@ _TAIL = ArrayType(StructType().add("word", "string").add("tf", "long"))
 _PAD, _END = np.zeros(2, np.int64), np.zeros(1, np.int64)
 
 
+def passes(code: np.ndarray, n: np.ndarray, r: np.random.Generator) -> tuple[int, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Number of batches, and batches of (code, weight): whole passes over all trigrams.
+
+    A trigram of more than the mean count is dealt over several equal entries, so
+    that none outweighs its batch; in every pass they sum up to its count.
+    """
+    mean = n.sum() / len(n)
+    copies = np.ceil(n / mean).astype(np.int64)
+    code, weight = np.repeat(code, copies), np.repeat((n / mean / copies).astype(np.float32), copies)
+    if len(code) < BATCH:
+        again = -(-BATCH // len(code))
+        code, weight = np.tile(code, again), np.tile(weight, again)
+    each = -(-len(code) // BATCH)
+    rounds = -(-STEPS // each)
+
+    def run() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _ in range(rounds):
+            for part in np.array_split(r.permutation(len(code)), each):
+                yield code[part], weight[part]
+
+    return rounds * each, run()
+
+
 def train(code: np.ndarray, n: np.ndarray, seed: int = 3) -> np.ndarray:
     """Noise-contrastive training; returns normalised log10 probabilities of all contexts."""
     r = np.random.default_rng(seed)
@@ -146,12 +171,11 @@ def train(code: np.ndarray, n: np.ndarray, seed: int = 3) -> np.ndarray:
     p = {a: v.astype(np.float32) for a, v in p.items()}
     log_noise = log_noise.astype(np.float32)
     m1, m2 = {a: np.zeros_like(v) for a, v in p.items()}, {a: np.zeros_like(v) for a, v in p.items()}
-    mass = np.cumsum(n) / max(1, n.sum()) if len(code) else None
     noise_mass = np.cumsum(noise)
-    for step in range(1, STEPS + 1 if len(code) else 1):
-        pick = code[np.minimum(np.searchsorted(mass, r.random(BATCH)), len(code) - 1)]
+    steps, batches = passes(code, n, r) if len(code) else (0, ())
+    for step, (pick, counts) in enumerate(batches, 1):
         h1, h2, w = pick // (k * k), pick // k % k, pick % k
-        fake = np.minimum(np.searchsorted(noise_mass, r.random(BATCH * NOISE // 25)), k - 1)
+        fake = np.minimum(np.searchsorted(noise_mass, r.random(len(pick) * NOISE // 25)), k - 1)
         # the noise samples are shared by the batch and weighted, so products stay matrices
         weight = (np.bincount(fake, minlength=k) * (NOISE / len(fake))).astype(np.float32)
         e1, e2 = p["r"][h1], p["r"][h2]
@@ -159,16 +183,16 @@ def train(code: np.ndarray, n: np.ndarray, seed: int = 3) -> np.ndarray:
         s = hat @ p["q"].T + p["b"]
         sig = 1 / (1 + np.exp(-(s - log_noise)))
         g = sig * weight  # noise terms
-        own = sig[np.arange(BATCH), w]
-        g[np.arange(BATCH), w] += own - 1  # data terms
-        g /= BATCH
+        own = sig[np.arange(len(pick)), w]
+        g[np.arange(len(pick)), w] += own - 1  # data terms
+        g *= counts[:, None] / np.float32(len(pick))
         d_hat = g @ p["q"]
         grad = {"q": g.T @ hat, "b": g.sum(0), "c1": e1.T @ d_hat, "c2": e2.T @ d_hat}
         d_r = np.zeros_like(p["r"])
         np.add.at(d_r, h1, d_hat @ p["c1"].T)
         np.add.at(d_r, h2, d_hat @ p["c2"].T)
         grad["r"] = d_r
-        lr = np.float32(0.02 * (1 - step / (STEPS + 1)))
+        lr = np.float32(0.02 * (1 - step / (steps + 1)))
         for a, v in grad.items():
             m1[a] = 0.9 * m1[a] + 0.1 * v
             m2[a] = 0.99 * m2[a] + 0.01 * v * v

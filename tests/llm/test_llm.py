@@ -517,6 +517,19 @@ def test_lm_is_normalised():
     assert np.allclose((10.0 ** table.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("cells", [3, 1000, 1_800_000])
+def test_lm_trains_on_every_trigram(cells):
+    r = np.random.default_rng(5)
+    code, n = np.sort(r.choice(lm.CLASSES**3, cells, replace=False)), r.zipf(1.6, cells).clip(max=10**7)
+    steps, batches = lm.passes(code, n, r)
+    got, count = np.zeros(lm.CLASSES**3), 0
+    for pick, weight in batches:
+        np.add.at(got, pick, weight)
+        count += 1
+    assert count == steps >= lm.STEPS
+    assert np.allclose(got[code] / n, got.sum() / n.sum(), rtol=1e-4)
+
+
 def test_lm_odd_rows(spark, odd, empty):
     got = lm.score_documents(odd, F.lit(True), keep=("doc_id", "k")).collect()
     assert len(got) == len(ODD) and all(r.score < 0 and r.base_score < 0 for r in got)
