@@ -453,7 +453,9 @@ select name, soll, ist from e left join i using (name) where ist is null or ist
 def size_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string")).alias("name")
     e = table(spark, sf, "part").select(name("p_partkey"), F.col("p_size").alias("soll"))
-    i = table(spark, sf, "lineitem").where("l_partkey % 9 <> 0").groupBy(name("l_partkey")).agg(F.max("l_quantity").cast("int").alias("ist"))
+    # every ninth part gets a name that no part has
+    i = table(spark, sf, "lineitem").withColumn("l_partkey", F.expr("case when l_partkey % 9 = 0 then -1 - l_partkey else l_partkey end"))
+    i = i.groupBy(name("l_partkey")).agg(F.max("l_quantity").cast("int").alias("ist"))
     return tiles.size_mismatches(e, i)
 
 
@@ -768,7 +770,8 @@ def join_semi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("join_anti", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 4 = 0)")
 def join_anti(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    # other orders get a customer that is not there
+    o = table(spark, sf, "orders").select(F.expr("case when o_orderkey % 4 = 0 then o_custkey else -1 - o_custkey end").alias("c_custkey"))
     return table(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
 
 

@@ -40,6 +40,18 @@ def test_query(spark, sf, con, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in con.fetchall()), key=repr)
 
 
+def test_size_mismatch_takes_every_part(spark, sf, con, monkeypatch):
+    seen = []
+    monkeypatch.setattr(registry.tiles, "size_mismatches", lambda e, i: seen.append(i.count()) or e)
+    registry.size_mismatch(spark, sf)
+    assert seen == [con.execute("select count(distinct l_partkey) from lineitem").fetchone()[0]]
+
+
+def test_join_anti_takes_every_order(spark, sf):
+    plan = registry.join_anti(spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert "LeftAnti" in plan and "Filter" not in plan
+
+
 def test_entry_without_llm():
     import __spark_entry__ as e
 
