@@ -112,6 +112,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_embeddings": """
+with recursive e as (select vec_id, label, embedding::double[] v from embeddings where label is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id a, b.vec_id b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  and list_cosine_similarity(a.v, b.v) >= 0.93),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+n as (select a, count(*) n from links group by a), c as (select a, min(b) b from reach group by a)
+select vec_id, coalesce(n.n, 0) n_links, least(vec_id, coalesce(c.b, vec_id)) component_id, vec_id <= coalesce(c.b, vec_id) kept
+from embeddings left join n on n.a = vec_id left join c on c.a = vec_id""",
     "op7_chat": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),

@@ -541,7 +541,7 @@ def test_lm_odd_rows(spark, odd, empty):
 # --- embeddings -----------------------------------------------------------
 
 
-@pytest.mark.parametrize("tile", [2048, 16])
+@pytest.mark.parametrize("tile", [2048, 16, 3])
 def test_embeddings_brute_force(spark, sf, tile):
     r = np.random.default_rng(0)
     base = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").limit(60).collect()
@@ -570,6 +570,32 @@ def test_embeddings_brute_force(spark, sf, tile):
     assert Counter(tuple(x) for x in embeddings.near_duplicates(df, tile=tile).collect()) == want
 
 
+def test_embeddings_extreme_doubles(spark):
+    rows = [(1, [1e200] * 4), (2, [1e200, 1e200, 1e200, 1.1e200]), (3, [1e-200] * 4), (4, [-1e200] * 4), (5, [1e-320, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_range_join_meets_each_pair_once(spark):
+    r = np.random.default_rng(4)
+    y = r.normal(size=(90, 12)).astype(np.float32) * 0.2
+    y[40:] = y[r.integers(0, 10, 50)] + r.normal(size=(50, 12)).astype(np.float32) * 0.03
+    df = spark.createDataFrame([(1, 12, i, v.tolist()) for i, v in enumerate(y)], "label int, d int, id long, y array<float>")
+    share, met = 0.02, Counter()
+    leaves = embeddings._range_join(df, F.lit(share), 4)
+    tiles = defaultdict(lambda: ([], []))
+    for t in embeddings._tiles(leaves, 4).collect():
+        tiles[t.blk, t.node, t.p, t.q][t.side].append(t.id)
+    for (blk, _, _, q), (a, b) in tiles.items():
+        met.update((blk, *sorted(x)) for x in [(i, j) for i in a for j in b] + ([(i, j) for i in a for j in a if i < j] if q == -1 else []))
+    assert max(met.values()) == 1
+    for blk in range(embeddings.BLOCKS):
+        p = np.array_split(y, embeddings.BLOCKS, axis=1)[blk].astype(float)
+        near = ((p[:, None] - p[None]) ** 2).sum(2) <= share
+        assert all((blk, i, j) in met for i in range(90) for j in range(i + 1, 90) if near[i, j])
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -594,3 +620,15 @@ def test_pipeline_stages(spark, docs, sf):
         assert r.text == secrets.mask_secrets(before[r.doc_id].text) and r.n_chars == len(r.text)
     last = p.run(spark, sf).collect()
     assert 0 < len(last) < len(before)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_oracle_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "conversations", "embeddings"):
+        con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert Counter(map(tuple, queries.QUERIES[name](spark, sf).select(*names).collect())) == Counter(want.fetchall())
