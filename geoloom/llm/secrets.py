@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,7 +59,7 @@ def entropy_spans(s: str, rule: EntropyRule) -> list[tuple[int, int]]:
     w, n = rule.window, len(s)
     if n < w or re.search(rule.allow, s):
         return []
-    f = [0.0] + [c * math.log2(c) for c in range(1, w + 1)]  # entropy = log2(w) - sum(f) / w
+    f = [0.0] + [c * math.log2(c) for c in range(1, w + 2)]  # entropy = log2(w) - sum(f) / w; one enters before one leaves
     most = w * (math.log2(w) - _class_bits(s, rule)) + 1e-9
     counts: dict[str, int] = {}
     total, spans = 0.0, []
@@ -92,10 +94,13 @@ def find_secrets(text: str, rule: EntropyRule = EntropyRule()) -> tuple[list[tup
     if candidates:  # a hex run of 24 is part of a candidate
         base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         base.sort()
+        starts = [x for x, _, _ in base]
+        ends = list(accumulate((y for _, _, y in base), max))  # furthest end of the base spans so far
         for at, s in candidates:
             for a, b in entropy_spans(s, rule):
                 a, b = a + at, b + at
-                if not any(x <= a and b <= y for x, _, y in base):
+                k = bisect_right(starts, a)
+                if not k or ends[k - 1] < b:
                     added.append((a, 3, b))
     base.sort()
     return base, added
@@ -156,8 +161,11 @@ def mask_documents(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFr
     def masked(t):  # noqa: ANN001, ANN202
         return t.map(lambda x: None if x is None else mask_secrets(x, rule))
 
-    out = docs.withColumn("__masked", masked("text"))
-    if "n_chars" in docs.columns:
-        n = F.when(F.col("__masked") == F.col("text"), F.col("n_chars")).otherwise(F.length("__masked").cast(docs.schema["n_chars"].dataType))
-        out = out.withColumn("n_chars", n)
-    return out.withColumn("text", F.col("__masked")).drop("__masked")
+    old = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(old, masked("text").alias("masked"))
+    cols = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    if "n_chars" in cols:
+        n = F.length("masked").cast(docs.schema["n_chars"].dataType)
+        cols["n_chars"] = F.when(F.col("masked").eqNullSafe(F.col("row.text")), cols["n_chars"]).otherwise(n)
+    cols["text"] = F.col("masked")
+    return out.select(*[v.alias(c) for c, v in cols.items()])

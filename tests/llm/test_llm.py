@@ -312,6 +312,76 @@ def test_secret_base(spark, odd, empty):
     assert secrets.scan(empty).count() == 0
     m = secrets.mask_documents(odd)
     assert m.columns == odd.columns and [r.text for r in m.collect()] == [t for _, t in ODD]
+    clash = odd.withColumnsRenamed({"k": "masked", "fp": "row"})
+    assert secrets.mask_documents(clash).collect() == clash.collect()
+
+
+def slow_base(text):
+    """Base spans by trying every start in turn, without the operator's patterns."""
+    value, word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), ("password", "passwd", "secret", "token", "api_key", "apikey")
+    upper, low = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    fold = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+    def run(i, chars):
+        while i < len(text) and text[i] in chars:
+            i += 1
+        return i
+
+    def assign(i):
+        for w in word:
+            if fold.startswith(w, i):
+                j = i + len(w)
+                j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+                j = run(j, " ")
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                first = j + 1
+                j = run(first, " ")
+                quoted = j + (text[j : j + 1] in ("'", '"') and text[j : j + 1] != "")
+                if run(quoted, value) > quoted:
+                    return run(quoted, value), run(quoted, value) - quoted >= 6
+        return None
+
+    def access(i):
+        end = run(i + 4, upper)
+        return (end, end - i >= 20) if text.startswith("AKIA", i) and end > i + 4 else None
+
+    def hexa(i):
+        end = run(i, low)
+        return (end, end - i >= 24) if end > i else None
+
+    out = []
+    for kind, at in enumerate((assign, access, hexa)):
+        i = 0
+        while i < len(text):
+            m = at(i)
+            if m is None:
+                i += 1
+            else:
+                if m[1]:
+                    out.append((i, kind, m[0]))
+                i = m[0]
+    return sorted(out)
+
+
+def test_secret_base_brute_force(docs):
+    r = random.Random(12)
+    parts = ["password", "PASSWD", "secret", "Token", "api_key", "APIKEY", "api", "key", "AKIA", '"', "'", " ", "  ", ":", "=", "a1b2c3", "0" * 23, "deadbeef" * 3, "ABCDEFGH12345678", "é", "ſ", "\u212a", "\n", "-", "x", "/"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(6000)] + [x.text or "" for x in docs.collect()]
+    assert sum(bool(slow_base(t)) for t in texts) > 500
+    for t in texts:
+        assert secrets.find_secrets(t)[0] == slow_base(t), t
+
+
+def test_secrets_in_linear_time():
+    import time
+
+    r = random.Random(13)
+    line = lambda: "token=" + "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(30)) + " "
+    text = "".join(line() for _ in range(28_000))
+    start = time.process_time()
+    base, added = secrets.find_secrets(text)
+    assert len(base) == 28_000 and not added and time.process_time() - start < 5
 
 
 # --- classifiers ----------------------------------------------------------
