@@ -2,6 +2,8 @@
 
 ``reconstruct`` folds an event log into final messages, ``render`` writes each
 conversation as one string plus a loss mask, ``read_back`` inverts it.
+``streamed`` turns finished messages into such a log, as a chat service that
+streams, edits and regenerates would have left it.
 
 Template: every message is ``### Role: `` + text + ``</turn>\\n``.  The three
 usual roles are title-cased; any other role is written ``=role``.  Inside texts
@@ -31,6 +33,35 @@ def unescape(c: Column) -> Column:
     return c
 
 
+def streamed(messages: DataFrame) -> DataFrame:
+    """An event log (``conv_id, seq, kind, turn, role, text``) that folds to these
+    messages (``conv_id, turn, role, text``); those of one turn in order of role
+    and text.  ``seq`` counts within a turn, so a long conversation is not one task.
+
+    Each message opens with a draft; a regeneration (assistant) or an edit (any
+    other role) throws it away and brings the first third of the text, two
+    deltas bring the rest.  Null texts and roles count as empty.
+    """
+    by = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    text, third = F.coalesce("text", F.lit("")), F.floor(F.length("text") / 3).cast("int")
+    m = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    m = m.select("*", (F.row_number().over(by).cast("long") * 4).alias("at"))
+    kind = F.when(F.col("role") == "assistant", F.lit("regenerate")).otherwise(F.lit("edit"))
+
+    def event(k: int, kind: Column, role: Column, text: Column) -> Column:
+        return F.struct((F.col("at") + k).alias("seq"), kind.alias("kind"), role.alias("role"), text.alias("text"))
+
+    none, one = F.lit(None).cast("string"), F.lit(1)
+    first, second, rest = F.substr("text", one, third), F.substr("text", third + 1, third), F.substr("text", third * 2 + 1)
+    log = F.array(
+        event(0, F.lit("message"), F.col("role"), F.concat(first, F.lit(" (draft)"))),
+        event(1, kind, none, first),
+        event(2, F.lit("delta"), none, second),
+        event(3, F.lit("delta"), none, rest),
+    )
+    return m.select("conv_id", "turn", F.explode(log).alias("e")).select("conv_id", "e.seq", "e.kind", "turn", "e.role", "e.text")
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """Final messages of every conversation.
 

@@ -65,10 +65,10 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
-    odd = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
+    odd = F.lit("\\### Assistant: </turn> ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), odd.alias("text"))
+    events = chat.streamed(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
     return chat.digest(chat.read_back(chat.render(chat.reconstruct(events))))
 
 

@@ -535,6 +535,21 @@ def test_chat_digest(spark, sf):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
 
 
+def test_chat_log_folds_back(spark):
+    rows = [(1, 0, "user", "Hallo du"), (1, 0, "user", "Hallo du"), (1, 1, "assistant", None), (1, 2, "assistant", "é"), (2, 5, None, "ab"), (None, None, "tool", "x" * 100)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("at", F.lit(3))
+    log = chat.streamed(df)
+    assert Counter(r.kind for r in log.collect()) == {"message": 6, "delta": 12, "edit": 4, "regenerate": 2}
+    got = Counter((r.conv_id, r.turn, r.role, r.text) for r in chat.reconstruct(log).collect())
+    assert got == Counter((c, t, r or "", x or "") for c, t, r, x in rows)
+
+
+def test_chat_stays_native(spark, sf):
+    df = queries.op7_chat(spark, sf)
+    run = df._jdf.queryExecution()
+    assert "Python" not in run.toRdd().toDebugString() and "Python" not in run.executedPlan().toString()
+
+
 def test_chat_fold(spark):
     e = [
         (1, 0, "message", 0, "user", "Hal"), (1, 1, "delta", 0, None, "lo"), (1, 2, "message", 1, "assistant", "A"), (1, 3, "delta", 1, None, "B"), (1, 4, "regenerate", 1, None, None),
