@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed
+from .common import drop_stash, least_hashed, stash
 
 # A small general lexicon and words of the second person.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "dumb", "clown", "jerk", "fool", "hate")
@@ -29,9 +28,8 @@ SECOND = (
 )
 LEET = str.maketrans("013457@$!*|", "oieastasi.l")
 
-#: Labelled rows of each class that reach the driver, and bytes of text of each.
+#: Labelled rows of each class that are learned from.
 SAMPLE_ROWS = 1500
-SAMPLE_BYTES = 16_384
 #: A stem is learned if so large a share of toxic rows has it, this many times the share of others.
 STEM_SHARE, STEM_RATIO, STEM_MOST = 0.006, 8.0, 600
 STEMS = (4, 5, 6)
@@ -214,38 +212,42 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(kx), ky
 
 
-def learn_stems(texts: list[str], y: np.ndarray) -> tuple[frozenset[str], frozenset[str]]:
-    """Stems of toxic rows: strong ones, and weak ones at a third of the ratio."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    alike: dict[tuple[int, int], set[str]] = {}  # near copies mostly share their least word hash and count once
-    for t, v in zip(texts, y):
-        words = set(t.split())
-        key = min((zlib.crc32(w.encode()) for w in words if len(w) > 5), default=0)
-        alike.setdefault((int(v), key), set()).update(words)
-    for (v, _), words in alike.items():
-        seen[v].update({s for w in words for s in stems(w)})
-    toxic = max(1, sum(v for v, _ in alike))
-    clean = max(1, len(alike) - toxic)
+def _stem_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (y, alike, stem) of whole texts; near copies mostly share their least word hash."""
+    for b in batches:
+        for y, t in zip(b.column("y").to_pylist(), b.column("t")):
+            words = set(t.as_py().split())
+            key = min((zlib.crc32(w.encode()) for w in words if len(w) > 5), default=0)
+            own = sorted({s for w in words for s in stems(w)} | {""})  # the empty stem stands for the text itself
+            yield pa.RecordBatch.from_arrays([pa.array([y] * len(own), pa.int32()), pa.array([key] * len(own), pa.int64()), pa.array(own, pa.string())], names=["y", "alike", "stem"])
+
+
+def learn_stems(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """Stems of toxic rows: strong ones, and weak ones at a third of the ratio.
+
+    ``sample`` has columns ``y`` and ``t``.  Texts that are alike count once.
+    At most ``STEM_MOST`` stems of each kind reach the driver.
+    """
+    rows = sample.select("y", "t").mapInArrow(_stem_rows, "y int, alike long, stem string").distinct()
+    seen = rows.groupBy("stem").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+    seen = stash(seen, "stems")
+    texts = seen.where("stem = ''").first()
+    toxic, clean = (max(1, texts.toxic), max(1, texts.clean)) if texts else (1, 1)
+    least = max(5, STEM_SHARE * toxic)
     out = []
     for ratio in (STEM_RATIO, STEM_RATIO / 3):
-        least = max(5, STEM_SHARE * toxic)
-        ok = {s: c for s, c in seen[1].items() if c >= least and c / toxic >= ratio * (seen[0][s] + 1) / clean}
-        out.append(frozenset(s for s, _ in sorted(ok.items(), key=lambda q: (-q[1], q[0]))[:STEM_MOST]))
+        ok = seen.where((F.col("stem") != "") & (F.col("toxic") >= least) & (F.col("toxic") / toxic >= ratio * (F.col("clean") + 1) / clean))
+        out.append(frozenset(r.stem for r in ok.orderBy(F.desc("toxic"), "stem").limit(STEM_MOST).collect()))
+    drop_stash(seen)
     return out[0], out[1]
 
 
-def train(ids: list[int], texts: list[str], y: np.ndarray) -> Model:
-    """Stems from one part of the rows, trees from a second, calibration from a third.
+def train(x: np.ndarray, y: np.ndarray, part: np.ndarray, strong: frozenset[str], weak: frozenset[str]) -> Model:
+    """Trees from the rows of parts 4 to 7, calibration from parts 8 and 9.
 
-    Parts go by crc32 of the text, so equal texts share a part.  With labels of
-    one class only all scores are near that class.
+    With labels of one class only all scores are near that class.
     """
-    y = np.asarray(y, np.float64)
-    part = np.array([zlib.crc32(t.encode()) % 10 for t in texts]) if texts else np.zeros(0)
-    one, two, three = part < 4, (part >= 4) & (part < 8), part >= 8
-    strong, weak = learn_stems([t for t, k in zip(texts, one) if k], y[one])
-    flags = Flags(strong, weak)
-    x = np.array([featurize(t, flags) for t in texts]).reshape(len(texts), len(FEATURES))
+    two, three = (part >= 4) & (part < 8), part >= 8
     trees, base = boost(x[two], y[two])
     m = Model(trees, base, strong, weak)
     if trees and three.any() and 0 < y[three].sum() < three.sum():
@@ -255,22 +257,37 @@ def train(ids: list[int], texts: list[str], y: np.ndarray) -> Model:
     return m
 
 
+def _features(strong: frozenset[str], weak: frozenset[str]):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = Flags(strong, weak)
+        for b in batches:
+            x = [featurize(t.as_py(), flags) for t in b.column("t")]
+            yield pa.RecordBatch.from_arrays([b.column("__h"), b.column("__id"), b.column("y"), b.column("part"), pa.array(x, pa.list_(pa.float64()))], names=["h", "id", "y", "part", "x"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5, rows: int = SAMPLE_ROWS) -> Model:
     """Train on labelled rows outside the held-out fold, crc32(id) mod ``folds`` = ``fold``.
 
     Of each class at most ``rows`` rows with the least hash of the id are taken,
-    and of each text at most ``SAMPLE_BYTES`` characters, half from each end;
-    scoring reads whole texts.  Rows with a null id or label are left out.
+    with their whole texts.  These stay on the executors: stems are learned there
+    from one part of the rows, and of the others only the features reach the
+    driver.  Parts go by crc32 of the text, so equal texts share a part.  Rows
+    with a null id or label are left out, repeated rows count once.
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("y")).where("__id is not null and y in (0, 1)")
     known = known.where(F.crc32(F.col("__id").cast("string").cast("binary")) % folds != fold)
     picked = [least_hashed(known.where(F.col("y") == v), "__id", rows) for v in (0, 1)]
-    t = F.coalesce("text", F.lit(""))
-    half = SAMPLE_BYTES // 2
-    part = F.when(F.length(t) <= SAMPLE_BYTES, t).otherwise(F.concat(F.substring(t, 1, half), F.lit(" "), F.substring(t, -half, half)))
-    sample = docs.select(F.col("doc_id").alias("__id"), part.alias("t")).join(F.broadcast(picked[0].unionByName(picked[1])), "__id")
-    got = sample.orderBy("__h", "__id").limit(2 * rows).collect()
-    return train([r["__id"] for r in got], [r.t for r in got], np.array([r.y for r in got], np.float64))
+    text = F.coalesce("text", F.lit(""))
+    sample = docs.select(F.col("doc_id").alias("__id"), text.alias("t")).join(F.broadcast(picked[0].unionByName(picked[1])), "__id")
+    sample = stash(sample.dropDuplicates(["__id", "y", "t"]).withColumn("part", (F.crc32(F.col("t").cast("binary")) % 10).cast("int")), "toxic-sample")
+    strong, weak = learn_stems(sample.where("part < 4"))
+    schema = sample.select(F.col("__h").alias("h"), F.col("__id").alias("id"), "y", "part", F.array(F.lit(0.0)).alias("x")).schema
+    got = sample.where("part >= 4").mapInArrow(_features(strong, weak), schema).orderBy("h", "id", "part", "x").limit(2 * rows).collect()
+    drop_stash(sample)
+    x = np.array([r.x for r in got]).reshape(len(got), len(FEATURES))
+    return train(x, np.array([r.y for r in got], np.float64), np.array([r.part for r in got], np.int64), strong, weak)
 
 
 def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
