@@ -13,6 +13,7 @@ Training runs on the driver over a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ EPOCHS = 12
 
 @dataclass
 class Net:
-    emb: np.ndarray  # 256 x EMBED
+    emb: np.ndarray  # 257 x EMBED; 0 is the padding, a byte is its value and 1
     conv: np.ndarray  # TAPS * (EMBED + 1) x FILTERS
     cb: np.ndarray
     w1: np.ndarray  # 2 * FILTERS x HIDDEN
@@ -55,27 +56,29 @@ def new_net(seed: int = 11) -> Net:
     n = lambda *s, k=1.0: (r.normal(size=s) * k).astype(np.float32)
     z = lambda *s: np.zeros(s, np.float32)
     width = TAPS * (EMBED + 1)
-    return Net(n(256, EMBED, k=0.5), n(width, FILTERS, k=width**-0.5), z(FILTERS), n(2 * FILTERS, HIDDEN, k=(2 * FILTERS) ** -0.5), z(HIDDEN), n(HIDDEN, 1, k=HIDDEN**-0.5), z(1), np.array([0.7, 0.7], np.float32), z(1))
+    return Net(n(257, EMBED, k=0.5), n(width, FILTERS, k=width**-0.5), z(FILTERS), n(2 * FILTERS, HIDDEN, k=(2 * FILTERS) ** -0.5), z(HIDDEN), n(HIDDEN, 1, k=HIDDEN**-0.5), z(1), np.array([0.7, 0.7], np.float32), z(1))
 
 
 def chunks_of(raw: bytes) -> np.ndarray:
-    """Overlapping chunks that cover all bytes; the last is padded with zeros."""
+    """Overlapping chunks that cover all bytes, each as its value and 1; the last is padded with zeros."""
     n = max(1, -(-max(0, len(raw) - CHUNK) // STEP) + 1)
-    x = np.zeros((n - 1) * STEP + CHUNK, np.uint8)
+    x = np.zeros((n - 1) * STEP + CHUNK, np.uint16)
     x[: len(raw)] = np.frombuffer(raw, np.uint8)
+    x[: len(raw)] += 1
     return np.lib.stride_tricks.sliding_window_view(x, CHUNK)[::STEP]
 
 
 def self_match(x: np.ndarray) -> np.ndarray:
-    """1 where the four bytes from here also start at one of the LAGS places before."""
+    """1 where the chunk's four bytes from here also start at one of the LAGS places before."""
     n = x.shape[1]
-    four = np.ascontiguousarray(x).astype(np.uint32)
+    four = ((x - 1) & 255).astype(np.uint32)  # the padding looks like a byte that no UTF-8 text has
     code = np.zeros_like(four)
     for k in range(4):
         code[:, : n - 3] |= four[:, k : n - 3 + k] << np.uint32(8 * k)
     out = np.zeros(x.shape, bool)
     for lag in range(1, LAGS + 1):
         out[:, lag:] |= code[:, lag:] == code[:, :-lag]
+    out[:, n - 3 :] = False  # no four bytes from there
     return (out & (x != 0)).astype(np.float32)
 
 
@@ -141,18 +144,34 @@ def gradients(net: Net, x: np.ndarray, owner: np.ndarray, y: np.ndarray, weight:
     demb = np.zeros_like(net.emb)
     flat_x, flat_d = x.reshape(-1), dz[:, :, :EMBED].reshape(-1, EMBED)
     for k in range(EMBED):
-        demb[:, k] = np.bincount(flat_x, weights=flat_d[:, k], minlength=256)
+        demb[:, k] = np.bincount(flat_x, weights=flat_d[:, k], minlength=257)
     demb[0] = 0
     g["emb"] = demb
     return g
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5, rate: float = 4e-3) -> Net:
+def draws_of(raw: bytes, epochs: int = EPOCHS, most: int = TRAIN_CHUNKS) -> tuple[np.ndarray, np.ndarray]:
+    """What training sees of a text: the numbers of the chunks drawn, ascending, and a
+    row of places in them for each epoch.
+
+    Each epoch draws ``most`` chunks of the whole text anew; of a short text all.
+    """
+    n = len(chunks_of(raw))
+    if n <= most:
+        return np.arange(n), np.tile(np.arange(n), (epochs, 1))
+    r = np.random.default_rng(zlib.crc32(raw))
+    drawn = np.stack([np.sort(r.choice(n, most, replace=False)) for _ in range(epochs)])
+    number, place = np.unique(drawn, return_inverse=True)
+    return number, place.reshape(drawn.shape)
+
+
+def train(chunks: list[np.ndarray], draws: list[np.ndarray], labels: np.ndarray, seed: int = 5, rate: float = 4e-3) -> Net:
     """Adam over shuffled batches of documents; classes weigh the same.
 
-    Of a long document a fresh choice of TRAIN_CHUNKS chunks is seen in each
-    epoch; scoring always takes all chunks.  With labels of one class only, or
-    none, the untrained last layer is set so that all scores are that class's.
+    Row ``e`` of a document's draws names the chunks that epoch ``e`` sees, drawn
+    over the whole text (``draws_of``); scoring always takes all chunks.  With
+    labels of one class only, or none, the untrained last layer is set so that
+    all scores are that class's.
     """
     net, r = new_net(), np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
@@ -163,14 +182,13 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     m1 = {k: np.zeros_like(getattr(net, k)) for k in net.names()}
     m2 = {k: np.zeros_like(getattr(net, k)) for k in net.names()}
-    step, batch = 0, 32
+    step, batch, epochs = 0, 32, len(draws[0])
     total = epochs * -(-len(y) // batch)
-    for _ in range(epochs):
+    for epoch in range(epochs):
         by = r.permutation(len(y))
         for at in range(0, len(y), batch):
             pick = by[at : at + batch]
-            xs = [chunks_of(texts[i]) for i in pick]
-            xs = [c if len(c) <= TRAIN_CHUNKS else c[np.sort(r.choice(len(c), TRAIN_CHUNKS, replace=False))] for c in xs]
+            xs = [chunks[i][draws[i][epoch]] for i in pick]
             owner = np.repeat(np.arange(len(pick)), [len(c) for c in xs])
             g = gradients(net, np.concatenate(xs), owner, y[pick], weight[pick])
             step += 1
@@ -215,26 +233,38 @@ def score(net: Net, texts: list[bytes]) -> np.ndarray:
     return sigmoid(logit.astype(np.float64))
 
 
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The drawn chunks of whole texts: bytes of two a value, and the draws."""
+    for b in batches:
+        chunks, draws = [], []
+        for t in b.column("t"):
+            raw = t.as_py()
+            number, place = draws_of(raw)
+            chunks.append(chunks_of(raw)[number].tobytes())
+            draws.append(place.reshape(-1).tolist())
+        cols = [b.column("__h"), b.column("__id"), b.column("y"), pa.array(chunks, pa.binary()), pa.array(draws, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["h", "id", "y", "chunks", "draws"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, rows: int = SAMPLE_ROWS) -> Net:
     """Train on labelled rows outside the held-out fold.
 
     A row is held out if crc32(doc_id as text) mod ``folds`` is ``fold``.  Of
-    each class at most ``rows`` rows are taken, those with the least
-    hash of the id, and of their texts at most 64 chunks' bytes reach the
-    driver, spread over the text.  Null ids, labels and repeated rows: rows with
-    a null are left out, repeats are taken as they are.
+    each class at most ``rows`` rows are taken, those with the least hash of the
+    id.  The chunks that training sees are drawn over their whole texts where
+    the rows are; only these, at most EPOCHS * TRAIN_CHUNKS a row, reach the
+    driver.  Rows with a null id or label are left out, repeats count once.
     """
     train_rows = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y")).where("__id is not null and y in (0, 1)")
     train_rows = train_rows.where(F.crc32(F.col("__id").cast("string").cast("binary")) % folds != fold)
     picked = [least_hashed(train_rows.where(F.col("y") == y), "__id", rows) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
-    most = 64 * STEP
     text = F.coalesce("text", F.lit("")).cast("binary")
-    joined = docs.select(F.col("doc_id").alias("__id"), text.alias("t")).join(F.broadcast(chosen), "__id")
-    # a long text gives its first and last bytes to the sample; scoring reads all of it
-    part = F.when(F.length("t") <= most, F.col("t")).otherwise(F.concat(F.substring("t", 1, most // 2), F.expr(f"substring(t, -{most // 2}, {most // 2})")))
-    sample = joined.select("__h", "__id", "y", part.alias("t")).orderBy("__h", "__id").limit(2 * rows).collect()
-    return train([bytes(r.t) for r in sample], np.array([r.y for r in sample]))
+    sample = docs.select(F.col("doc_id").alias("__id"), text.alias("t")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id", "y", "t"])
+    schema = sample.select(F.col("__h").alias("h"), F.col("__id").alias("id"), "y", F.col("t").alias("chunks"), F.array(F.lit(0)).alias("draws")).schema
+    sample = sample.select("__h", "__id", "y", "t").mapInArrow(_drawn, schema).orderBy("h", "id", "y", "chunks").limit(2 * rows).collect()
+    chunks = [np.frombuffer(r.chunks, np.uint16).reshape(-1, CHUNK) for r in sample]
+    return train(chunks, [np.array(r.draws).reshape(EPOCHS, -1) for r in sample], np.array([r.y for r in sample]))
 
 
 def classify(docs: DataFrame, net: Net, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

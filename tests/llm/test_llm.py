@@ -403,12 +403,13 @@ def test_classifier_held_out(spark, name, label, folds, fold):
 def test_classifiers_odd_rows(spark, odd, empty):
     from geoloom.llm import bytecnn
 
-    assert bytecnn.train([], np.array([])).w3.sum() == 0
-    net = bytecnn.train([b"a"], np.array([1]))
+    assert bytecnn.train([], [], np.array([])).w3.sum() == 0
+    net = bytecnn.train([bytecnn.chunks_of(b"a")], [bytecnn.draws_of(b"a")[1]], np.array([1]))
     got = bytecnn.classify(odd, net, keep=("doc_id", "k")).collect()
     assert len(got) == len(ODD) and all(r.score > 0.9 for r in got)
     assert bytecnn.classify(empty, net).count() == 0
-    m = toxicity.train([], [], np.array([]))
+    nothing = np.zeros((0, len(toxicity.FEATURES)))
+    m = toxicity.train(nothing, np.zeros(0), np.zeros(0), frozenset(), frozenset())
     assert all(0 <= r.score <= 1 for r in toxicity.classify(odd, m).collect())
     assert toxicity.classify(empty, m).count() == 0
     none = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
@@ -420,12 +421,58 @@ def test_cnn_covers_whole_text():
     from geoloom.llm import bytecnn
 
     for n in (0, 1, 511, 512, 513, 2000, 5000):
-        raw = bytes(1 + i % 250 for i in range(n))
+        raw = bytes(i % 256 for i in range(n))
         x = bytecnn.chunks_of(raw)
-        seen = np.zeros(max(1, (len(x) - 1) * bytecnn.STEP + bytecnn.CHUNK), np.uint8)
+        seen = np.zeros(max(1, (len(x) - 1) * bytecnn.STEP + bytecnn.CHUNK), np.uint16)
         for i, c in enumerate(x):
             seen[i * bytecnn.STEP : i * bytecnn.STEP + bytecnn.CHUNK] = c
-        assert seen[:n].tobytes() == raw
+        assert (seen[:n] - 1).astype(np.uint8).tobytes() == raw and not seen[n:].any()
+
+
+def test_cnn_draws_over_whole_text():
+    from geoloom.llm import bytecnn
+
+    raw = bytes(random.Random(1).choice(b"abcdef ") for _ in range(400_000))
+    number, place = bytecnn.draws_of(raw)
+    assert place.shape == (bytecnn.EPOCHS, bytecnn.TRAIN_CHUNKS) and number.max() > 700 > 300 > number.min()
+    assert all(len(set(p)) == bytecnn.TRAIN_CHUNKS for p in place.tolist()) and len(number) > 40
+    short, place = bytecnn.draws_of(raw[:1000])
+    assert short.tolist() == [0, 1, 2] and (place == [0, 1, 2]).all()
+
+
+def slow_quality(net, raw):
+    """One document's probability, place by place and without batches."""
+    from geoloom.llm import bytecnn as q
+
+    out = []
+    for at in range(0, max(1, len(raw) - q.CHUNK + q.STEP), q.STEP):
+        c = raw[at : at + q.CHUNK]
+        most, share, places = np.full(q.FILTERS, 0.0), np.zeros(q.FILTERS), 0
+        for p in range(0, q.CHUNK - q.TAPS + 1, q.STRIDE):
+            if p >= len(c):
+                break
+            z = np.zeros((q.TAPS, q.EMBED + 1))
+            for k in range(min(q.TAPS, len(c) - p)):
+                i = p + k
+                four = lambda j: c[j : j + 4].ljust(4, b"\xff")
+                match = i <= q.CHUNK - 4 and any(four(i) == four(i - lag) for lag in range(1, min(q.LAGS, i) + 1))
+                z[k] = [*net.emb[c[i] + 1], float(match)]
+            r = z.reshape(-1) @ net.conv + net.cb
+            most, share, places = np.maximum(most, r), share + np.clip(r, 0, 1), places + 1
+        h = np.maximum(np.concatenate((most, share / max(1, places))) @ net.w1 + net.b1, 0)
+        out.append((h @ net.w2 + net.b2)[0])
+    logit = max(out) * net.w3[0] + np.mean(out) * net.w3[1] + net.b3[0]
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_cnn_score_brute_force():
+    from geoloom.llm import bytecnn
+
+    r = random.Random(2)
+    texts = [b"", b"\0", b"\0" * 700, b"abcabcabc" * 90, "zwei Wörter".encode()] + [bytes(r.randrange(255) for _ in range(n)) for n in (300, 512, 513, 1500)]
+    net = bytecnn.new_net(3)
+    assert np.allclose(bytecnn.score(net, texts), [slow_quality(net, t) for t in texts], atol=1e-5)
+    assert bytecnn.score(net, [b"\0" * 700])[0] != bytecnn.score(net, [b""])[0]
 
 
 def test_cnn_gradients():
@@ -433,7 +480,9 @@ def test_cnn_gradients():
 
     r = np.random.default_rng(0)
     net = bytecnn.new_net()
-    x = r.integers(1, 256, (5, bytecnn.CHUNK)).astype(np.uint8)
+    for name in net.names():
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    x = r.integers(1, 257, (5, bytecnn.CHUNK)).astype(np.uint16)
     owner, y, w = np.array([0, 0, 1, 2, 2]), np.array([1, 0, 1], np.float32), np.ones(3, np.float32)
 
     def loss():
@@ -441,16 +490,71 @@ def test_cnn_gradients():
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
     g = bytecnn.gradients(net, x, owner, y, w)
-    for name in ("w1", "w2", "b2", "w3", "conv", "cb"):
+    for name in ("w1", "b1", "w2", "b2", "w3", "conv", "cb", "emb"):
         a = getattr(net, name)
+        if name == "emb":
+            a = a[x[0, 0]]
+            g[name] = g[name][x[0, 0]]
         at = tuple(r.integers(0, s) for s in a.shape)
         old = a[at]
-        a[at] = old + 1e-2
+        a[at] = old + 1e-6
         up = loss()
-        a[at] = old - 1e-2
+        a[at] = old - 1e-6
         down = loss()
         a[at] = old
-        assert abs((up - down) / 2e-2 - g[name][at]) < 2e-3 + 0.1 * abs(g[name][at]), name
+        assert abs((up - down) / 2e-6 - g[name][at]) < 1e-5 + 1e-3 * abs(g[name][at]), name
+
+
+def test_toxic_features_by_hand():
+    flags = toxicity.Flags(frozenset({"bloed"}), frozenset({"hass"}))
+    got = dict(zip(toxicity.FEATURES, toxicity.featurize("You IDIOT! du bist bloedmann und hassvoll... 1d1ot nooo Haus?", flags)))
+    want = dict(given=2 / 10, strong=1 / 10, weak=1 / 10, any_hits=3, hit_rate=0.3, best_window=3, near_second=2, hits_per_second=2 / 3, second=0.2, all_caps=0.1, hidden=0.1, long=0.1)
+    assert {k: round(got[k], 9) for k in want} == {k: round(v, 9) for k, v in want.items()}
+    size = len("You IDIOT! du bist bloedmann und hassvoll... 1d1ot nooo Haus?")
+    assert (got["exclaim"], got["question"], got["punct"]) == (1 / size, 1 / size, 5 / size)
+    assert toxicity.featurize("  ", flags) == [0.0] * len(toxicity.FEATURES)
+
+
+def test_learned_stems_brute_force(spark):
+    r = random.Random(21)
+    words = ["alpha", "beta", "gammas", "deltas", "boeser", "boese", "rest", "viele"]
+    rows = []
+    for i in range(160):
+        y = i % 2
+        rows.append((y, " ".join(r.choice(words[4 * (y and r.random() < 0.7) :][:6]) for _ in range(6)) + f" eigenwort{i // 3 if i % 5 else i}"))
+    groups = defaultdict(set)
+    for y, t in rows:
+        key = min(zlib.crc32(w.encode()) for w in t.split() if len(w) > 5)
+        groups[y, key] |= {s for w in t.split() for s in toxicity.stems(w)}
+    count = [Counter(), Counter()]
+    for (y, _), s in groups.items():
+        count[y].update(s)
+    n = [sum(y == v for y, _ in groups) for v in (0, 1)]
+    want = [{s for s, c in count[1].items() if c >= max(5, toxicity.STEM_SHARE * n[1]) and c / n[1] >= k * (count[0][s] + 1) / n[0]} for k in (toxicity.STEM_RATIO, toxicity.STEM_RATIO / 3)]
+    got = toxicity.learn_stems(spark.createDataFrame(rows, "y int, t string"))
+    assert [set(x) for x in got] == want and want[1]
+
+
+def test_first_tree_brute_force():
+    r = np.random.default_rng(3)
+    x = r.integers(0, 6, (400, 3)).astype(float)
+    y = ((x[:, 1] > 2) ^ (x[:, 0] > 4)).astype(float)
+    trees, base = toxicity.boost(x, y, rounds=1, depth=1)
+    p = 1 / (1 + math.exp(-base))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    gain = {(j, c): sum(g[m].sum() ** 2 / (h[m].sum() + 2) for m in (x[:, j] <= c, x[:, j] > c)) for j in range(3) for c in range(5)}
+    j, c = max(gain, key=gain.get)
+    assert (trees[0].feature[0], trees[0].cut[0]) == (j, c)
+    assert np.allclose(trees[0].value, [-0.15 * g[m].sum() / (h[m].sum() + 2) for m in (x[:, j] <= c, x[:, j] > c)])
+
+
+def test_isotonic_brute_force():
+    r = np.random.default_rng(7)
+    x, y = np.arange(40.0), (r.random(40) < np.linspace(0, 1, 40)).astype(float)
+    kx, ky = toxicity.isotonic(x, y)
+    # the greatest rising fit: at each place the largest mean from before to the least mean after
+    fit = [max(min(y[a:b].mean() for b in range(i + 1, 41)) for a in range(i + 1)) for i in range(40)]
+    assert np.allclose(np.interp(kx[1:-1], x, fit), ky[1:-1], atol=0.02)
 
 
 def test_isotonic_rises():
