@@ -580,8 +580,8 @@ def slow_repeats(texts, n=repeats.LENGTH):
     return [(len(t), int(g.sum()), int((np.diff(np.pad(g.astype(int), 1)) == 1).sum()), sha(np.frombuffer(t, np.uint8)[~g].tobytes())) for t, g in zip(texts, gone)]
 
 
-@pytest.mark.parametrize("hot", [2048, 3])
-def test_repeats_brute_force(spark, docs, hot):
+@pytest.mark.parametrize(("hot", "weak"), [(2048, 0), (3, 0), (2048, 62)])
+def test_repeats_brute_force(spark, docs, hot, weak):
     r = random.Random(8)
     base = [x.text for x in docs.orderBy("doc_id").limit(4).collect()]
     rows = [(i, t) for i, t in enumerate(base)]
@@ -591,10 +591,23 @@ def test_repeats_brute_force(spark, docs, hot):
         pad = lambda: "".join(r.choice("abcdé \n") for _ in range(r.randint(0, 80)))
         rows.append((100 + i, pad() + b[a : a + r.choice([150, 199, 200, 201, 330, 900])] + pad()))
     rows += [(i + 300, t) for i, t in enumerate(["ab" * 300, "x" * 1000, "x" * 250, "", None, "z" * 200, "z" * 200, "y" * 199, "q" * 201])] + [(None, base[0]), (0, base[0])]
-    got = Counter(tuple(x) for x in repeats.remove_repeats(spark.createDataFrame(rows, DOC).repartition(3), hot=hot).collect())
+    got = Counter(tuple(x) for x in repeats.remove_repeats(spark.createDataFrame(rows, DOC).repartition(3), hot=hot, weak=weak).collect())
     assert got == Counter((i, *x) for (i, _), x in zip(rows, slow_repeats([(t or "").encode() for _, t in rows])))
 
 
+def test_repeats_hash_collision_is_seen():
+    raws = [bytes(250), bytes(250)]
+    got = repeats.repeated_starts(np.array([1, 1]), np.array([(50 << 8) | 50] * 2), raws)
+    assert got.sum() == 2 * 51
+    power = repeats._POW.copy()
+    try:
+        repeats._POW[:] = 0  # all hashes are equal
+        raws = [bytes([7]) * 250, bytes([8]) * 250]
+        assert not repeats.repeated_starts(np.array([1, 1]), np.array([(50 << 8) | 50] * 2), raws).any()
+    finally:
+        repeats._POW[:] = power
+
+
 def test_suffix_sort():
     r = random.Random(9)
     texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 30))) for _ in range(200)]
