@@ -5,16 +5,17 @@ pigeonring over whole-text fingerprints.  So a text's set of five-word shingles
 is dealt by hash into bags of two to eight, and the bags get fingerprints of
 their own: texts that share 0.8 of their shingles agree fully in many bags.
 Candidates are texts with an equal bag fingerprint among the first ``BAGS`` bags
-or whole-text fingerprints linked by the pigeonring filter.  Each candidate pair
-is verified by the exact Jaccard similarity of the shingle sets.
+of two levels or whole-text fingerprints linked by the pigeonring filter.  Bags
+of few shingles say little, so a pair whose smaller set has up to ``SHORT``
+shingles is found exactly: two such sets share one of their ``prefix(n)`` least
+hashes, and texts of that size are keyed by these.  Each candidate pair is
+verified by the exact Jaccard similarity of the sets of 64-bit shingle hashes.
 
 Equal texts are one class.  In every candidate group the classes are held
 against a leader, the class with most copies; in a group of up to ``ALL`` classes
 all pairs that the leaders leave apart are verified too.  In a larger one all
 classes are held against the most central one as well, whose bags are shared most;
-what is apart then is resolved exactly by a prefix filter (``_large``).  At similarity 0.8
-the 16 bags of mean size 4 to 8 and the 16 of half that size miss a pair with
-a probability under one in ten thousand.
+what is apart then is resolved exactly by a prefix filter (``_large``).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, stash
@@ -32,6 +33,7 @@ from .simhash import SEED, links
 WORDS = 5
 BAGS = 16
 ALL = 32
+SHORT = 64
 TILE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,41 +58,56 @@ def majority(h: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > n[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
 
 
-def bag_keys(h: np.ndarray) -> np.ndarray:
-    """Keys of the first bags of a set of hashes, at two bag sizes."""
-    if not len(h):
+def prefix(n: int, similarity: float = 0.8) -> int:
+    """Of two sets that similar, one of n hashes shares one of its so many least with the other's."""
+    return n - int(np.ceil(n * similarity - 1e-9)) + 1
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * _MIX
+
+
+def bag_keys(h: np.ndarray, similarity: float = 0.8) -> np.ndarray:
+    """Keys of a set of hashes (ascending): of a short one its least hashes, of a
+    longer one its first bags at two bag sizes; both near the border."""
+    n = len(h)
+    if not n:
         return np.zeros(1, np.uint64)
-    level = max(0, int(np.log2(max(1, len(h) / 4))))
     out = []
-    for lv in (level, level + 1):
-        bag = (h * _MIX) >> np.uint64(64 - lv) if lv else np.zeros(len(h), np.uint64)
+    if n * similarity <= SHORT + 1e-9:
+        out.append(_spread((h[: prefix(n, similarity)] + np.uint64(1)) * _MIX))
+    level = max(0, int(np.log2(max(1, n / 4))))
+    for lv in (level, level + 1) if n > SHORT else ():
+        bag = (h * _MIX) >> np.uint64(64 - lv)
         mine = bag < BAGS
         if mine.any():
             by = np.argsort(bag[mine], kind="stable")
             hs, bs = h[mine][by], bag[mine][by]
             start = np.flatnonzero(np.concatenate(([True], bs[1:] != bs[:-1])))
-            key = majority(hs, start) ^ ((bs[start] + np.uint64(1 + lv * 64)) * _MIX)
-            out.append((key ^ (key >> np.uint64(29))) * _MIX)
-    return np.concatenate(out)
+            out.append(_spread(majority(hs, start) ^ ((bs[start] + np.uint64(1 + lv * 64)) * _MIX)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps, flat, at = [], [], [0]
-        for t in b.column("text"):
-            h = shingle_hashes(t.as_py())
-            fps.append(int(majority(h, np.zeros(1, np.int64))[0]) if len(h) else 0)
-            keys = bag_keys(h)
-            flat.append(keys)
-            at.append(at[-1] + len(keys))
-        values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
-        bags = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
-        yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.array(fps, np.uint64).view(np.int64)), bags], names=["k", "fp", "bags"])
+def _keys(similarity: float):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, flat, at = [], [], [0]
+            for t in b.column("text"):
+                h = shingle_hashes(t.as_py())
+                fps.append(int(majority(h, np.zeros(1, np.int64))[0]) if len(h) else 0)
+                keys = bag_keys(h, similarity)
+                flat.append(keys)
+                at.append(at[-1] + len(keys))
+            values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
+            bags = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.array(fps, np.uint64).view(np.int64)), bags], names=["k", "fp", "bags"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [np.unique(shingle_hashes(t.as_py()).astype(np.uint32)).tobytes() for t in b.column("text")]
+        sets = [shingle_hashes(t.as_py()).tobytes() for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sets, pa.binary())], names=["k", "s"])
 
 
@@ -99,7 +116,7 @@ def _verify(least: float):  # noqa: ANN202
         for b in batches:
             ok = []
             for s, t in zip(b.column("s"), b.column("t")):
-                x, y = np.frombuffer(s.as_py(), np.uint32), np.frombuffer(t.as_py(), np.uint32)
+                x, y = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             keep = pa.array(ok)
@@ -108,11 +125,25 @@ def _verify(least: float):  # noqa: ANN202
     return run
 
 
-def group_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``k`` (text digest) and ``c`` (group) of every class of equal texts in a
+def class_key(docs: DataFrame) -> Column:
+    """A 64-bit name of a row's text, the same for equal texts only.
+
+    Texts whose first hash is shared by another text, told apart by a second
+    one, are named by both.  These are a handful among 10^10 texts.
+    """
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    one, two = F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+    shared = docs.select(one.alias("k"), two.alias("l")).groupBy("k").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b")
+    shared = [r.k for r in shared.select("k").collect()]
+    return F.when(one.isin(shared), F.xxhash64(one, two)).otherwise(one) if shared else one
+
+
+def group_classes(docs: DataFrame, similarity: float = 0.8, key: Column | None = None) -> DataFrame:
+    """``k`` (name of the text, ``class_key``) and ``c`` (group) of every class of equal texts in a
     group of two classes or more.  Texts without words are alike."""
-    source = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("k", F.xxhash64("text"))
-    keys = stash(source.mapInArrow(_keys, "k long, fp long, bags array<long>"), "near-keys")
+    key = class_key(docs) if key is None else key
+    source = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), key.alias("k"))
+    keys = stash(source.mapInArrow(_keys(similarity), "k long, fp long, bags array<long>"), "near-keys")
     fps = keys.groupBy("fp").agg(F.count("*").alias("n"))
     near = connected_components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
     whole = keys.select("k", "fp").join(near, "fp", "left").select(F.xxhash64(F.lit("whole"), F.coalesce("component", "fp")).alias("g"), "k")
@@ -158,7 +189,7 @@ def _large(sets: DataFrame, large: DataFrame, edges: DataFrame, similarity: floa
     if left.isEmpty():
         return so_far
     docs = left.select("k", "c").distinct()
-    mine = stash(sets.join(docs, "k").withColumn("n", (F.length("s") / 4).cast("int")), "near-open-sets")
+    mine = stash(sets.join(docs, "k").withColumn("n", (F.length("s") / 8).cast("int")), "near-open-sets")
     hashes = mine.select("k", "s").mapInArrow(_hashes, "k long, w long")
     rare = hashes.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") <= ALL)
     rare = hashes.join(rare.hint("merge"), "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
@@ -187,7 +218,7 @@ def _large(sets: DataFrame, large: DataFrame, edges: DataFrame, similarity: floa
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k, s in zip(b.column("k").to_pylist(), b.column("s")):
-            w = np.frombuffer(s.as_py(), np.uint32).astype(np.int64)
+            w = np.frombuffer(s.as_py(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), k, np.int64)), pa.array(w)], names=["k", "w"])
 
 
@@ -197,7 +228,7 @@ def _tile(least: float):  # noqa: ANN202
     def run(rows: pa.Table) -> pa.Table:
         t, i, j = rows.column("t").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         k, c, rare = (rows.column(x).to_numpy() for x in ("k", "c", "rare"))
-        sets = [np.frombuffer(s.as_py(), np.uint32) for s in rows.column("s")]
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in rows.column("s")]
         n = np.array([len(s) for s in sets], np.int64)
         start = np.concatenate(([0], np.cumsum(n)))
         ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -239,13 +270,18 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     Equal texts always form a group, null and empty texts among them.  Of
     repeated rows with that id one stays.  A null id goes last.
     """
-    digest = F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
-    classes = group_classes(docs, similarity)
-    ids = docs.select("doc_id", digest.alias("__k")).groupBy("__k", "doc_id").agg(F.count("*").alias("n"))
-    ids = ids.join(classes.select(F.col("k").alias("__k"), "c"), "__k", "left").withColumn("c", F.coalesce("c", "__k"))
-    first = ids.groupBy("c").agg(F.min_by(F.struct("__k", "doc_id", "n"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__k"))).alias("x"))
-    first = stash(first.select("x.__k", F.col("x.doc_id").alias("__id"), F.col("x.n").alias("__n")), "near-kept")
-    rows = docs.withColumn("__k", digest).alias("d").join(first.hint("merge").alias("f"), (F.col("d.__k") == F.col("f.__k")) & F.col("d.doc_id").eqNullSafe(F.col("f.__id")))
-    once = rows.where("__n = 1").select(*[F.col(f"d.`{c}`") for c in docs.columns])
-    twice = rows.where("__n > 1").select("d.*").dropDuplicates(["doc_id", "__k"]).select(*[f"`{c}`" for c in docs.columns])
-    return once.unionByName(twice) if not first.where("__n > 1").isEmpty() else once
+    key = class_key(docs)
+    classes = group_classes(docs, similarity, key)
+    ids = docs.select("doc_id", key.alias("k")).groupBy("k", "doc_id").agg(F.count("*").alias("n"))
+    ids = ids.join(classes, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    first = ids.groupBy("c").agg(F.min_by(F.struct("k", "doc_id", "n"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k"))).alias("x"))
+    first = stash(first.select("x.k", F.col("x.doc_id").alias("id"), F.col("x.n").alias("n")), "near-kept")
+    # the columns travel as one struct: none can clash with the work columns
+    rows = docs.select(key.alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("d")
+    rows = rows.join(first.hint("merge").alias("f"), (F.col("d.k") == F.col("f.k")) & F.col("row.doc_id").eqNullSafe(F.col("f.id"))).select("row", "d.k", "n")
+    whole = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    once = rows.where("n = 1").select(*whole)
+    if first.where("n > 1").isEmpty():
+        return once
+    twice = rows.where("n > 1").withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "k"])
+    return once.unionByName(twice.select(*whole))

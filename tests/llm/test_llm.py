@@ -155,12 +155,49 @@ def test_near_copies(spark, docs, odd, empty):
     want = {texts[i][0] for i in range(len(texts)) if u.find(i) == i}
     got = {x.doc_id for x in nearcopies.keep_one(spark.createDataFrame(texts, DOC)).collect()}
     assert got == want
+    clash = odd.withColumnsRenamed({"k": "row", "fp": "n"})
+    assert nearcopies.keep_one(clash).count() == 5
     left = nearcopies.keep_one(odd)
     assert left.columns == odd.columns
     assert sorted((x.doc_id or -1) for x in left.collect()) == [-1, 1, 4, 5, 6]  # nothing and spaces alone are one text
     assert nearcopies.keep_one(empty).count() == 0
 
 
+def test_short_texts_share_a_key():
+    r = np.random.default_rng(17)
+    for n in range(1, nearcopies.SHORT + 1):
+        for _ in range(60):
+            most = int(n / 0.8 + 1e-9)
+            both = int(r.integers(int(np.ceil(0.8 * n - 1e-9)), n + 1))
+            extra = int(r.integers(0, most - n + 1))
+            if both < 0.8 * (n + extra) - 1e-9 + 0.8 * (n - both):
+                continue
+            h = np.unique(r.integers(0, 2**63, n + extra + n - both, dtype=np.uint64))
+            x = np.concatenate((h[:0], r.permutation(h)))
+            a, b = np.sort(x[:n]), np.sort(np.concatenate((x[:both], x[n:])))
+            assert set(nearcopies.bag_keys(a).tolist()) & set(nearcopies.bag_keys(b).tolist())
+
+
+@pytest.mark.parametrize("n", [65, 80, 100, 120, 250, 510, 900, 3000])
+def test_recall_of_longer_texts(n):
+    r = np.random.default_rng(n)
+    missed = 0
+    for i in range(1500):  # similarity 0.8, the least that counts, with the smaller inside the larger or both changed
+        more = n // 4 if i % 2 else n // 9
+        h = r.permutation(r.integers(0, 2**63, n + more, dtype=np.uint64))
+        a, b = (h[:n], h) if i % 2 else (h[:n], h[more:])
+        missed += not set(nearcopies.bag_keys(np.sort(a)).tolist()) & set(nearcopies.bag_keys(np.sort(b)).tolist())
+    assert missed <= 3
+
+
+def test_class_key_tells_equal_hashes_apart(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "")], DOC)
+    true = F.xxhash64
+    monkeypatch.setattr(nearcopies.F, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 else true(*c))
+    keys = {r.doc_id: r.k for r in df.select("doc_id", nearcopies.class_key(df).alias("k")).collect()}
+    assert keys[1] == keys[3] and keys[4] == keys[5] and len(set(keys.values())) == 3
+
+
 def similar_pairs(sets, least=0.8):
     at = range(len(sets))
     return [(i, j) for i in at for j in at[:i] if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9]
@@ -199,7 +236,7 @@ def test_large_group_without_leaders(spark, seed, monkeypatch):
     u = Union(len(sets))
     for i, j in similar_pairs(sets):
         u.join(i, j)
-    df = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint32).tobytes())) for i, s in enumerate(sets)], "k long, s binary")
+    df = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in enumerate(sets)], "k long, s binary")
     got = nearcopies._large(df, df.select(F.lit(7).cast("long").alias("g"), "k"), spark.createDataFrame([], "a long, b long"), 0.8)
     c = {x.node: x.component for x in got.collect()}
     want = [u.find(i) for i in range(len(sets))]
