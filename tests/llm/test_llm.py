@@ -751,22 +751,80 @@ def test_lm_base_and_gain(spark):
     assert h.score.sum() > h.base_score.sum()
 
 
-def test_lm_is_normalised():
-    table = lm.train(np.array([5, 700, 90000]), np.array([3, 2, 1]))
-    assert np.allclose((10.0 ** table.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
+def tiny_model(size=90, seed=1):
+    own = {b"w%d" % i: 1 + i for i in range(size - 1 - lm.FORMS)}
+    r = np.random.default_rng(seed)
+    noise = r.dirichlet(np.ones(size))
+    return own, noise, lm.untrained(noise, seed)
 
 
-@pytest.mark.parametrize("cells", [3, 1000, 1_800_000])
-def test_lm_trains_on_every_trigram(cells):
+def test_lm_is_normalised():
+    own, noise, p = tiny_model()
+    p = {k: v + np.random.default_rng(2).normal(size=v.shape).astype(np.float32) for k, v in p.items()}
+    m = lm.normalised(own, p)
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = r.integers(0, len(noise), 2)
+        w = np.arange(len(noise))
+        slow = np.array([(p["r"][a] @ p["c1"] + p["r"][b] @ p["c2"]) @ p["q"][k] + p["b"][k] for k in w], np.float64)
+        slow -= slow.max() + np.log(np.exp(slow - slow.max()).sum())
+        got = m.log10(np.full(len(w), a), np.full(len(w), b), w)
+        assert np.allclose(got, slow / math.log(10), atol=1e-4) and math.isclose((10**got).sum(), 1, abs_tol=1e-3)
+
+
+def test_lm_learns_by_noise_contrast():
+    own, noise, p = tiny_model()
+    t = lm.Trainer(p, np.full(len(noise), 1 / len(noise)), 3)
+    seqs = [np.array([1 + (s + i * (1 + s % 2)) % 20 for i in range(30)]) for s in range(20)]  # the next word follows from two
+    code, n = lm.trigrams(seqs, len(noise))
+    t.run(code, n, 0.05, 400)
+    size = len(noise)
+    p = lm.normalised(own, t.p).log10(code // size // size, code // size % size, code % size)
+    assert 10 ** (-(p * n).sum() / n.sum()) < 1.6
+
+
+def test_lm_trains_on_every_token(spark, sf):
+    learn = spark.read.parquet(f"{sf}/documents.parquet").select(F.coalesce("text", F.lit("")).cast("binary").alias("__text")).repartition(3)
+    own, noise, p = tiny_model()
+    shared = spark.sparkContext.broadcast((own, noise, p))
+    got = learn.mapInArrow(lm._learn(shared), "part long, tokens long, model binary").agg(F.sum("tokens")).first()[0]
+    assert got == sum(len(bytes(r[0]).lower().split()) + 1 for r in learn.collect())
     r = np.random.default_rng(5)
-    code, n = np.sort(r.choice(lm.CLASSES**3, cells, replace=False)), r.zipf(1.6, cells).clip(max=10**7)
-    steps, batches = lm.passes(code, n, r)
-    got, count = np.zeros(lm.CLASSES**3), 0
-    for pick, weight in batches:
-        np.add.at(got, pick, weight)
-        count += 1
-    assert count == steps >= lm.STEPS
-    assert np.allclose(got[code] / n, got.sum() / n.sum(), rtol=1e-4)
+    code, n = np.sort(r.choice(10**6, 50_000, replace=False)), r.zipf(1.6, 50_000).clip(max=10**7)
+    entry, weight = lm.spread(code, n)
+    assert np.allclose(np.bincount(np.searchsorted(code, entry), weight) / n, weight.sum() / n.sum(), rtol=1e-4) and weight.max() <= 1
+
+
+def test_lm_trigrams():
+    assert lm.trigrams([np.array([3, 3]), np.zeros(0, np.int64)], 10)[0].tolist() == [0, 3, 33, 330]
+    assert lm.trigrams([np.array([3, 3]), np.zeros(0, np.int64)], 10)[1].tolist() == [1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("models", [32, 2])
+def test_lm_score_brute_force(spark, docs, monkeypatch, models):
+    seen = []
+    real = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: seen.append(real(*a)) or seen[-1])
+    monkeypatch.setattr(lm, "OWN", 150)
+    monkeypatch.setattr(lm, "HEAD", 400)
+    monkeypatch.setattr(lm, "MODELS", models)
+    df = docs.select("doc_id", "text").withColumn("train", F.col("doc_id") % 3 > 0).repartition(5)
+    got = {r.doc_id: r.score for r in lm.score_documents(df, F.col("train")).collect()}
+    (m,) = seen
+    rows = [(r.doc_id, (r.text or "").encode().lower().split(), r.train) for r in df.collect()]
+    c = Counter(w for _, ws, train in rows if train for w in ws)
+    assert len(m.own) <= 150
+    n, v = Counter(), Counter()
+    form = lambda w: lm.form_of(w.decode())
+    for w, k in c.items():
+        if w not in m.own:
+            n[form(w)] += k
+            v[form(w)] += 1
+    for i, ws, _ in rows:
+        outs = [0, 0] + [m.own.get(w) or 1 + len(m.own) + form(w) for w in ws] + [0]
+        want = sum(m.log10(np.array([outs[j - 2]]), np.array([outs[j - 1]]), np.array([outs[j]]))[0] for j in range(2, len(outs)))
+        want += sum(math.log10((c[w] + 1) / (n[form(w)] + v[form(w)] + 1)) for w in ws if w not in m.own)
+        assert math.isclose(got[i], want, rel_tol=1e-5)
 
 
 def test_lm_odd_rows(spark, odd, empty):
