@@ -41,16 +41,16 @@ from .common import stash
 
 OWN = 2048  # words that are outcomes of their own, at most
 FORMS = 64
-#: Vector size, noise per token, noise samples and trigrams of a batch.
-DIM, NOISE, SAMPLES, BATCH = 48, 25, 512, 8192
+#: Vector size, noise per token, noise samples (twice as many in warm-up) and trigrams of a batch.
+DIM, NOISE, SAMPLES, BATCH = 32, 25, 192, 8192
 #: Texts and trigrams that warm the model up, at most, and the least number of batches.
 WARM_TEXTS, WARM_ROWS, WARM_STEPS = 4000, 1_500_000, 500
 #: Tokens whose trigrams a training task holds at a time.
-HELD_TOKENS = 600_000
+HELD_TOKENS = 1_200_000
 #: Adam's rate in warm-up; later a fifth of it.
 RATE = 0.02
 #: Models that reach the driver; more are averaged in tasks before.
-MODELS = 32
+MODELS = 8
 #: Words whose counts are broadcast; longer words than HEAD_CHARS are left to the join.
 HEAD, HEAD_CHARS = 150_000, 48
 #: Distinct words a counting task holds before it passes them on.
@@ -149,19 +149,19 @@ _PAD, _END = np.zeros(2, np.int64), np.zeros(1, np.int64)
 def spread(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries and weights of one pass over all trigrams.
 
-    A trigram of more than the mean count is dealt over several equal entries, so
-    that none outweighs its batch; they sum up to its share of the counts.
+    A trigram of more than eight times the mean count is dealt over several equal
+    entries, so that none outweighs its batch; they sum up to its share of the counts.
     """
     mean = n.sum() / len(n)
-    copies = np.ceil(n / mean).astype(np.int64)
+    copies = np.ceil(n / (8 * mean)).astype(np.int64)
     return np.repeat(code, copies), np.repeat((n / mean / copies).astype(np.float32), copies)
 
 
 class Trainer:
     """Noise-contrastive training with Adam, batch by batch."""
 
-    def __init__(self, p: dict[str, np.ndarray], noise: np.ndarray, seed: int) -> None:
-        self.p, self.r, self.step = {k: v.copy() for k, v in p.items()}, np.random.default_rng(seed), 0
+    def __init__(self, p: dict[str, np.ndarray], noise: np.ndarray, seed: int, samples: int = 2 * SAMPLES) -> None:
+        self.p, self.r, self.step, self.samples = {k: v.copy() for k, v in p.items()}, np.random.default_rng(seed), 0, samples
         self.log_noise, self.mass = np.log(noise * NOISE).astype(np.float32), np.cumsum(noise)
         self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
 
@@ -181,13 +181,15 @@ class Trainer:
         p, size = self.p, len(self.mass)
         a, b, w = code // (size * size), code // size % size, code % size
         # noise samples are shared by the batch and weighted, so products stay matrices
-        fake, times = np.unique(np.minimum(np.searchsorted(self.mass, self.r.random(SAMPLES)), size - 1), return_counts=True)
-        weight = (times * (NOISE / SAMPLES)).astype(np.float32)
+        fake, times = np.unique(np.minimum(np.searchsorted(self.mass, self.r.random(self.samples)), size - 1), return_counts=True)
+        weight = (times * (NOISE / self.samples)).astype(np.float32)
         hat = (p["r"] @ p["c1"])[a] + (p["r"] @ p["c2"])[b]
         out, noise = p["q"][w], p["q"][fake]
         share = count / np.float32(len(code))
         d_own = (_sigmoid(np.einsum("ij,ij->i", hat, out) + p["b"][w] - self.log_noise[w]) - 1) * share
-        d_noise = _sigmoid(hat @ noise.T + (p["b"][fake] - self.log_noise[fake])) * weight * share[:, None]
+        d_noise = _sigmoid(hat @ noise.T + (p["b"][fake] - self.log_noise[fake]))
+        d_noise *= weight
+        d_noise *= share[:, None]
         d_hat = d_own[:, None] * out + d_noise @ noise
         one, two = _sums(a, d_hat, size), _sums(b, d_hat, size)
         grad = {"r": one @ p["c1"].T + two @ p["c2"].T, "c1": p["r"].T @ one, "c2": p["r"].T @ two}
@@ -204,7 +206,12 @@ class Trainer:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place, so that no large arrays come and go."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _sums(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -239,7 +246,7 @@ def _learn(shared):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, noise, p = shared.value
         part = TaskContext.get().partitionId()
-        t, remember = Trainer(p, noise, part), {}
+        t, remember = Trainer(p, noise, part, SAMPLES), {}
         seqs: list[np.ndarray] = []
         held = total = 0
         for b in batches:

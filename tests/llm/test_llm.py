@@ -792,7 +792,7 @@ def test_lm_trains_on_every_token(spark, sf):
     r = np.random.default_rng(5)
     code, n = np.sort(r.choice(10**6, 50_000, replace=False)), r.zipf(1.6, 50_000).clip(max=10**7)
     entry, weight = lm.spread(code, n)
-    assert np.allclose(np.bincount(np.searchsorted(code, entry), weight) / n, weight.sum() / n.sum(), rtol=1e-4) and weight.max() <= 1
+    assert np.allclose(np.bincount(np.searchsorted(code, entry), weight) / n, weight.sum() / n.sum(), rtol=1e-4) and weight.max() <= 8
 
 
 def test_lm_trigrams():
@@ -800,7 +800,7 @@ def test_lm_trigrams():
     assert lm.trigrams([np.array([3, 3]), np.zeros(0, np.int64)], 10)[1].tolist() == [1, 1, 1, 1]
 
 
-@pytest.mark.parametrize("models", [32, 2])
+@pytest.mark.parametrize("models", [8, 2])
 def test_lm_score_brute_force(spark, docs, monkeypatch, models):
     seen = []
     real = lm.train
