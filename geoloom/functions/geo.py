@@ -202,14 +202,3 @@ def retry_delay(code, attempt) -> Column:  # noqa: ANN001
     """Seconds to wait after an HTTP code (null: network error); null if it is not retried."""
     c, p = _c(code), F.pow(F.lit(2.0), _c(attempt))
     return F.when(c.isNull(), p).when(c == 429, 10 * p).when(c.isin(500, 502, 503, 504), 2 * p)
-
-
-def slots(times: Column, rate: float) -> Column:
-    """Start times of requests (ascending) under a common rate: a fold that spaces them out."""
-    step = 1.0 / rate
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(float("-inf")).alias("free"))
-    fold = F.aggregate(
-        times, start,
-        lambda s, t: F.struct(F.concat(s["out"], F.array(F.greatest(t, s["free"]))).alias("out"), (F.greatest(t, s["free"]) + step).alias("free")),
-    )
-    return fold["out"]

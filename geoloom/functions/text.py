@@ -1,26 +1,66 @@
 """Text forms for address search: folding, sort keys, tile names.
 
-The built-in forms stay in generated code.  Spark has no Unicode decomposition,
-so accents are taken off with ``translate`` over the Latin letters listed below;
-``*_exact`` variants decompose any text in an Arrow UDF instead.
+All forms stay in the JVM.  Spark has no Unicode decomposition, so tables built
+from the Unicode data at import say it: letters that decompose to one letter go
+through ``translate``; the few that decompose to several, and Hangul, are spelled
+out only in texts that hold one.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-# Latin letters with accents (lower case) and their base letters.
-ACCENTED = "àáâãäåāăąçćčďđèéêëēĕėęěìíîïĩīĭįñńňòóôõöøōŏőŕřśşšţťùúûüũūŭůűųýÿźżž"
-PLAIN = "aaaaaaaaacccddeeeeeeeeeiiiiiiiinnnooooooooorrssstt" + "uuuuuuuuuuyyzzz"
 # Transcription of German letters.
 UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"))
 
 
+def decompose(text: str) -> str:
+    """Compatibility decomposition without combining marks."""
+    return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+
+
+def _tables() -> tuple[str, str, dict[str, str], str]:
+    one, gone, more, white = {}, [], {}, []
+    for ch in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        if ch.isspace():
+            white.append(ch)
+        if ch.isascii() or "가" <= ch <= "힣":
+            continue
+        d = decompose(ch)
+        if len(d) == 1 and d != ch:
+            one[ch] = d
+        elif not d:
+            gone.append(ch)
+        elif d != ch:
+            more[ch] = d
+    return "".join([*one, *gone]), "".join(one.values()), more, "".join(white)
+
+
+#: Letters with one base letter, then marks, which have none; letters that are spelled out; white space.
+FOLDED, BASES, SPELLED, WHITE = _tables()
+_HANGUL = tuple("".join(map(chr, range(at, at + n))) for at, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+
+def _ranges(letters: str) -> str:
+    """A regex class of letters (ascending), neighbours joined."""
+    runs: list[list[str]] = []
+    for ch in letters:
+        if runs and ord(ch) == ord(runs[-1][1]) + 1:
+            runs[-1][1] = ch
+        else:
+            runs.append([ch, ch])
+    return "[" + "".join(f"{a}-{b}" for a, b in runs) + "]"
+
+
+_SPELL = _ranges("".join(sorted([*SPELLED, *map(chr, range(ord("가"), ord("힣") + 1))])))
+_NOT_ASCII = "[^\\x00-\\x7F]"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -30,20 +70,37 @@ def base_form(c: Column | str) -> Column:
     x = F.replace(F.lower(_col(c)), F.lit("ß"), F.lit("ss"))
     x = F.replace(x, F.lit("str."), F.lit("strasse"))
     x = F.replace(x, F.lit("str "), F.lit("strasse "))
-    return F.regexp_replace(x, "str$", "strasse")
+    return F.regexp_replace(x, "str\\z", "strasse")
+
+
+def _spelled(ch: Column) -> Column:
+    """A letter's decomposition where it has several letters, else the letter."""
+    table = F.from_json(F.lit(json.dumps(SPELLED)), "map<string,string>")
+    n = F.ascii(ch) - 0xAC00
+    part = lambda letters, i: F.substr(F.lit(letters), i + 1, F.lit(1))
+    hangul = F.concat(part(_HANGUL[0], F.floor(n / 588).cast("int")), part(_HANGUL[1], F.floor(n % 588 / 28).cast("int")))
+    hangul = F.concat(hangul, F.when(n % 28 > 0, part(_HANGUL[2], n % 28 - 1)).otherwise(""))
+    return F.when(ch.between("가", "힣"), hangul).otherwise(F.coalesce(F.try_element_at(table, ch), ch))
+
+
+def drop_marks(c: Column | str) -> Column:
+    """Compatibility decomposition without combining marks."""
+    x = F.translate(_col(c), FOLDED, BASES)
+    letters = F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), _spelled)
+    return F.when(x.rlike(_NOT_ASCII) & x.rlike(_SPELL), F.array_join(letters, "")).otherwise(x)
 
 
 def transcribed_form(c: Column | str) -> Column:
-    """Base form with umlauts transcribed, other accents dropped, ends trimmed."""
+    """Base form with umlauts transcribed, other accents dropped, white space at the ends trimmed."""
     x = base_form(c)
     for a, b in UMLAUTS:
         x = F.replace(x, F.lit(a), F.lit(b))
-    return F.trim(F.translate(x, ACCENTED, PLAIN))
+    return F.btrim(drop_marks(x), F.lit(WHITE))
 
 
 def stripped_form(c: Column | str) -> Column:
-    """Base form with all accents dropped, ends trimmed."""
-    return F.trim(F.translate(base_form(c), ACCENTED, PLAIN))
+    """Base form with all accents dropped, white space at the ends trimmed."""
+    return F.btrim(drop_marks(base_form(c)), F.lit(WHITE))
 
 
 def search_forms(c: Column | str) -> Column:
@@ -51,46 +108,12 @@ def search_forms(c: Column | str) -> Column:
     return F.array_distinct(F.array(transcribed_form(c), stripped_form(c)))
 
 
-def decompose(text: str, ascii_only: bool = False) -> str:
-    """Compatibility decomposition without combining marks (or, without any non-ASCII)."""
-    parts = unicodedata.normalize("NFKD", text)
-    return "".join(ch for ch in parts if (ch.isascii() if ascii_only else not unicodedata.combining(ch)))
-
-
-@F.pandas_udf(StringType())
-def drop_marks_exact(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else decompose(t))
-
-
-@F.pandas_udf(StringType())
-def ascii_exact(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else decompose(t, ascii_only=True))
-
-
-def transcribed_form_exact(c: Column | str) -> Column:
-    x = base_form(c)
-    for a, b in UMLAUTS:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.trim(drop_marks_exact(x))
-
-
-def stripped_form_exact(c: Column | str) -> Column:
-    return F.trim(drop_marks_exact(base_form(c)))
-
-
 def gazetteer_key(c: Column | str) -> Column:
     """Lower case, German letters transcribed, accents dropped, other non-ASCII dropped."""
     x = F.lower(_col(c))
     for a, b in (*UMLAUTS, ("ß", "ss")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.translate(x, ACCENTED, PLAIN), "[^\\x00-\\x7F]", "")
-
-
-def gazetteer_key_exact(c: Column | str) -> Column:
-    x = F.lower(_col(c))
-    for a, b in (*UMLAUTS, ("ß", "ss")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return ascii_exact(x)
+    return F.regexp_replace(drop_marks(x), _NOT_ASCII, "")
 
 
 def number_sort_key(c: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import tile_xy
@@ -98,9 +98,17 @@ def progress(done: DataFrame, total: int, seconds: float) -> DataFrame:
     return d.select("done", "empty", "errors", (100.0 * F.col("done") / total).alias("percent"), rate.alias("rate"), ((total - F.col("done")) / rate).alias("remaining"))
 
 
+def rate_slots(requests: DataFrame, rate: float, key: str = "id", time: str = "t") -> DataFrame:
+    """Requests with their start time ``slot`` under a common rate per key, and
+    their number ``n`` from 1 in order of time: spaced out by 1 / rate at least.
+    """
+    by = Window.partitionBy(key).orderBy(time)
+    r = requests.withColumn("n", F.row_number().over(by).cast("bigint"))
+    gap = (F.col("n") - 1) / rate
+    return r.withColumn("slot", F.max(F.col(time) - gap).over(by.rowsBetween(Window.unboundedPreceding, 0)) + gap)
+
+
 def grid_layout(rows: DataFrame, order: str, columns: int, width: int, top: int) -> DataFrame:
     """Places in a sheet of ``columns`` cells a row, below ``top`` pixels."""
-    from pyspark.sql import Window
-
     i = F.row_number().over(Window.orderBy(order)) - 1  # one row per symbol: a few hundred
     return rows.withColumn("i", i).withColumn("x", (F.col("i") % columns) * width).withColumn("y", top + F.floor(F.col("i") / columns) * width)
