@@ -15,16 +15,15 @@ def footprints(buildings: DataFrame) -> DataFrame:
 
     Columns in: ``id``, ``measured`` (heights in document order, inner parts
     too), ``ground`` and ``faces`` (arrays of flat coordinate arrays; ``faces``
-    stand in where there is no ground).  The ring is the face of the lowest mean
-    height; the height is the last parseable one, else the extent of z over all
+    stand in where there is no ground).  The ring is the first usable one of the
+    ground, else the face of the lowest mean height; the height is the last parseable one, else the extent of z over all
     faces; heights outside 0.5 to 300 m drop the building.
     """
     usable = lambda c: F.filter(F.transform(c, triples), lambda r: r.isNotNull())
     b = buildings.select("id", "measured", usable("ground").alias("g"), usable("faces").alias("f"))
-    b = b.withColumn("rings", F.when(F.size("g") > 0, F.col("g")).otherwise(F.col("f"))).where(F.size("rings") > 0)
     mean_z = lambda r: F.aggregate(r, F.lit(0.0), lambda s, p: s + p["z"]) / F.size(r)
-    order = F.transform("rings", lambda r, i: F.struct(mean_z(r).alias("z"), i.alias("i"), r.alias("r")))
-    b = b.withColumn("ring", F.array_min(order)["r"])
+    order = F.transform("f", lambda r, i: F.struct(mean_z(r).alias("z"), i.alias("i"), r.alias("r")))
+    b = b.withColumn("ring", F.coalesce(F.get("g", F.lit(0)), F.array_min(order)["r"])).where("ring is not null")
     heights = F.filter(F.transform("measured", lambda m: m.try_cast("double")), lambda m: m.isNotNull())
     zs = F.transform(F.flatten(F.concat("g", "f")), lambda p: p["z"])
     b = b.withColumn("hoehe", F.coalesce(F.try_element_at(heights, F.lit(-1)), F.array_max(zs) - F.array_min(zs)))

@@ -14,16 +14,16 @@ def place_lines(lines: DataFrame, only: str | None = None) -> DataFrame:
     """Parsed place lines; ``lines`` has ``value`` and ``ordinal`` (file order).
 
     Lines with fewer than 15 fields, another feature class than P, an
-    unparseable number or a place outside the box are left out.
+    unparseable number (the id too) or a place outside the box are left out.
     """
     c = F.split("value", "\t")
     f = lambda i: F.get(c, F.lit(i))
     pop = F.when(f(14) == "", F.lit(0).cast("bigint")).otherwise(f(14).try_cast("bigint"))
     rows = lines.where((F.size(c) >= 15) & (f(6) == "P")).select(
-        "ordinal", f(0).alias("gid"), f(1).alias("name"), f(2).alias("ascii"), f(4).try_cast("double").alias("lat"), f(5).try_cast("double").alias("lon"),
+        "ordinal", f(0).try_cast("bigint").alias("gid"), f(1).alias("name"), f(2).alias("ascii"), f(4).try_cast("double").alias("lat"), f(5).try_cast("double").alias("lon"),
         f(8).alias("country"), f(10).alias("adm1"), pop.alias("pop"),
     )
-    rows = rows.where("lat is not null and lon is not null and pop is not null")
+    rows = rows.where("gid is not null and lat is not null and lon is not null and pop is not null")
     rows = rows.where(F.col("lat").between(BOX[1], BOX[3]) & F.col("lon").between(BOX[0], BOX[2]))
     return rows.where(F.col("country") == only) if only else rows
 
@@ -37,12 +37,14 @@ def best_by_population(rows: DataFrame, key: str = "gid") -> DataFrame:
 
 
 def name_lines(lines: DataFrame, language: str = "de") -> DataFrame:
-    """Alternate names of a language that are not historic."""
+    """Alternate names of a language that are not historic; lines with fewer than
+    five fields or an id that is no number are left out."""
     c = F.split("value", "\t")
     f = lambda i: F.get(c, F.lit(i))
     historic = (F.size(c) > 7) & (f(7) == "1")
-    return lines.where((F.size(c) > 3) & (f(2) == language) & ~historic).select(
-        "ordinal", f(1).alias("gid"), f(3).alias("name"), F.coalesce(f(4) == "1", F.lit(False)).alias("preferred")
+    gid = f(1).try_cast("bigint")
+    return lines.where((F.size(c) > 4) & (f(2) == language) & ~historic & gid.isNotNull()).select(
+        "ordinal", gid.alias("gid"), f(3).alias("name"), (f(4) == "1").alias("preferred")
     )
 
 
@@ -72,10 +74,14 @@ def dedup_nearby(rows: DataFrame, name: str = "name", order: str = "first_seen")
 
 
 def gazetteer(world: DataFrame, country: DataFrame, names: DataFrame, only: str = "DE") -> DataFrame:
-    """The whole gazetteer: display, lat, lon, pop, country, adm1, aliases, first_seen."""
-    last = world.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("m"))
-    second = place_lines(country, only).crossJoin(F.broadcast(last)).withColumn("ordinal", F.col("ordinal") + F.col("m") + 1).drop("m")  # one row
-    best = best_by_population(place_lines(world).unionByName(second))
+    """The whole gazetteer: display, lat, lon, pop, country, adm1, aliases, first_seen.
+
+    The country's file is read first: of equal populations its row wins, and the
+    world's lines count on from its last one.
+    """
+    last = country.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("m"))
+    second = place_lines(world).crossJoin(F.broadcast(last)).withColumn("ordinal", F.col("ordinal") + F.col("m") + 1).drop("m")  # one row
+    best = best_by_population(place_lines(country, only).unionByName(second))
     local = preferred_name(known_names(name_lines(names), best)).withColumnRenamed("name", "local")
     rows = best.join(local, "gid", "left").withColumn("display", F.coalesce("local", "name"))
     rows = rows.withColumn("aliases", aliases([F.col("name"), F.col("ascii"), F.col("local")], F.col("display")))

@@ -67,7 +67,8 @@ def parse_buildings(data: bytes) -> list[dict] | None:
     """Buildings of a CityGML file; null if the file is malformed.
 
     Namespaces do not matter.  Faces are outer rings, as ``posList`` or as
-    single ``pos``; a ring with an unreadable number keeps a null there.
+    single ``pos``, a polygon without ``exterior`` is its own ring; a ring with
+    an unreadable number keeps a null there.
     """
     import io
     from xml.etree import ElementTree
@@ -82,22 +83,16 @@ def parse_buildings(data: bytes) -> list[dict] | None:
             return None
 
     def ring(polygon) -> list[float | None]:  # noqa: ANN001
-        for ext in polygon.iter():
-            if local(ext) == "exterior":
-                return [number(w) for e in ext.iter() if local(e) in ("posList", "pos") for w in (e.text or "").split()]
-        return []
+        outer = next((e for e in polygon if local(e) == "exterior"), polygon)
+        return [number(w) for e in outer.iter() if local(e) in ("posList", "pos") for w in (e.text or "").split()]
 
     def rings(e) -> list[list[float | None]]:  # noqa: ANN001
         return [ring(p) for p in e.iter() if local(p) == "Polygon"]
 
     out: list[dict] = []
-    depth = 0
     try:
-        for event, e in ElementTree.iterparse(io.BytesIO(data), ("start", "end")):
-            if local(e) != "Building":
-                continue
-            depth += 1 if event == "start" else -1
-            if event == "end" and depth == 0:
+        for _, e in ElementTree.iterparse(io.BytesIO(data)):
+            if local(e) == "Building":  # a building within another one comes first and apart
                 ground = [r for g in e.iter() if local(g) == "GroundSurface" for r in rings(g)]
                 measured = [m.text for m in e.iter() if local(m) == "measuredHeight"]
                 key = next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == "id"), None)

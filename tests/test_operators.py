@@ -66,6 +66,10 @@ def test_gazetteer(spark):
     g = gazetteer.gazetteer(f(world), f(land), f(names))
     rows = g.collect()
     assert [(r.display, r.pop, r.aliases) for r in rows] == [("Wien", 9, ["Wien gross"]), ("Zu", 0, [])]
+    # of equal populations the country's file, which is read first, wins, in order too
+    tie = [line("1", "Adorf WORLD", 50, 7, "P", "DE", 4), line("2", "Welt", 51, 7, "P", "AT", 4)], [line("3", "Zett", 52, 8, "P", "DE", 4), line("1", "Adorf DE", 50, 7, "P", "DE", 4), line("x", "ohne Zahl", 50, 7, "P", "DE", 4)]
+    short = ["1\t3\tde\tvier Spalten", "2\tx\tde\tkeine Zahl\t"]
+    assert [r.display for r in gazetteer.gazetteer(f(tie[0]), f(tie[1]), f(short)).collect()] == ["Zett", "Adorf DE", "Welt"]
     assert gazetteer.lookup(g, "WIEN").count() == 1
     import json
 
