@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, number_sort_key, stripped_form, transcribed_form
+from ..sources.scratch import stash
 
 RAW = ("ort", "plz", "strasse", "hnr", "lat", "lon")
 
@@ -62,11 +63,12 @@ def _numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Ids in the order of ``order``: a range sort, then counts of the parts before.
 
     No window over the whole table: rows are numbered within sorted partitions
-    and each partition starts where the ones before end.
+    and each partition starts where the ones before end.  The rows are written
+    before they are sampled for range bounds, and once more when numbered.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stash(df, "rows").repartitionByRange(*order).sortWithinPartitions(*order)
     row = F.monotonically_increasing_id()  # the part above 33 bits, the row within it below
-    parted = ranged.withColumn("__row", row).withColumn("__part", F.shiftright("__row", 33)).persist()
+    parted = stash(ranged.withColumn("__row", row).withColumn("__part", F.shiftright("__row", 33)), "numbered")
     counts = parted.groupBy("__part").agg(F.count("*").alias("__n"))
     first = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__first"))  # one row per partition
     within = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))

@@ -92,8 +92,7 @@ def until_stable(frames: DataFrame, key: str = "id") -> DataFrame:
 
 
 def trip_counters(log: DataFrame, key: str = "id") -> DataFrame:
-    """Recalculations, readings off the route or out of the mode, headings, tilt."""
-    tilt = F.sort_array(F.filter(F.collect_list("neigung"), lambda t: t.isNotNull()))
+    """Recalculations, readings off the route or out of the mode, headings, tilt (upper median)."""
     return log.groupBy(key).agg(
         F.count("*").alias("messungen"),
         F.count_if(F.col("anweisung").rlike("(?i)neu berechnet|abseits")).alias("neuberechnungen"),
@@ -101,8 +100,8 @@ def trip_counters(log: DataFrame, key: str = "id") -> DataFrame:
         F.count_if(~F.col("navimodus")).alias("ohne_modus"),
         F.count_distinct(F.floor(F.coalesce("drehung", F.lit(0.0)) / 10 + 0.5)).alias("richtungen"),
         F.count_if(F.col("neigung") < 40).alias("flach"),
-        tilt.alias("t"),
-    ).withColumn("neigung_median", F.get("t", F.floor(F.size("t") / 2).cast("int"))).drop("t")
+        F.expr("percentile_disc(0.5) within group (order by neigung desc)").alias("neigung_median"),
+    )
 
 
 def never_shown(maneuvers: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
