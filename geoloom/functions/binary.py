@@ -206,3 +206,31 @@ def encode_png(rgb: bytes, width: int, height: int) -> bytes:
 
     rows = b"".join(b"\0" + rgb[3 * width * y : 3 * width * (y + 1)] for y in range(height))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+
+
+def decode_png(data: bytes) -> bytes:
+    """RGB bytes of a picture as ``encode_png`` writes it."""
+    at, packed, width = 8, b"", 0
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        if struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0] != zlib.crc32(kind + body):
+            raise ValueError("broken picture")
+        if kind == b"IHDR":
+            width = struct.unpack(">I", body[:4])[0]
+        elif kind == b"IDAT":
+            packed += body
+        at += 12 + size
+    rows, step = zlib.decompress(packed), 3 * width + 1
+    return b"".join(rows[i + 1 : i + step] for i in range(0, len(rows), step))
+
+
+@F.pandas_udf(ArrayType(StructType().add("r", "integer").add("g", "integer").add("b", "integer")))
+def png_pixels(png: pd.Series) -> pd.Series:
+    """Pixels of pictures, row by row."""
+
+    def pixels(data: bytes) -> list[dict]:
+        rgb = decode_png(data)
+        return [{"r": rgb[i], "g": rgb[i + 1], "b": rgb[i + 2]} for i in range(0, len(rgb), 3)]
+
+    return png.map(pixels)

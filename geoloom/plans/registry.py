@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..functions import style as st
 from ..operators import address, buildings, gazetteer, kinds, route, search, terrain, tiles
+from ..sources.scratch import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +65,11 @@ def addr_raw(spark: SparkSession, sf: str) -> DataFrame:
     return _sql(spark, sf, ADDR)
 
 
+def addr_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The joined rows, written once for queries that read them several times."""
+    return stash(addr_raw(spark, sf), "raw")
+
+
 A = f"with a as ({_duck(ADDR)}), "
 PLACES = A + """p as (select ort, min(nullif(plz, '')) plz, avg(lat) lat, avg(lon) lon, count(*) anzahl from a where ort <> '' group by ort),
 pi as (select row_number() over (order by ort) id, * from p)"""
@@ -93,14 +99,14 @@ def addr_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("addr_streets", STREETS + " select id, ort_id, name, round(lat, 9) lat, round(lon, 9) lon, anzahl, such as such1 from sf")
 def addr_streets(spark: SparkSession, sf: str) -> DataFrame:
-    raw = addr_raw(spark, sf)
+    raw = addr_rows(spark, sf)
     return _round(address.street_index(raw, address.place_index(raw)), "lat", "lon", n=9).drop("such2")
 
 
 @query("addr_numbers", STREETS + """ select si.id strasse_id, hnr nummer, round(a.lat, 6) lat, round(a.lon, 6) lon,
     coalesce(try_cast(nullif(regexp_extract(hnr, '[0-9]+'), '') as bigint), 0) sortier from a join pi using (ort) join si on si.ort_id = pi.id and si.strasse = a.strasse""")
 def addr_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    raw = addr_raw(spark, sf)
+    raw = addr_rows(spark, sf)
     p = address.place_index(raw)
     return _round(address.number_index(raw, p, address.street_index(raw, p)), "lat", "lon")
 
@@ -148,7 +154,7 @@ def search_places(spark: SparkSession, sf: str) -> DataFrame:
 @query("search_streets", STREETS + ROUNDS.format(rows="sf", prefix="starts_with(such, 'red')", inside="contains(such, 'red')") + """
 select u.id, name, pi.ort, round(u.lat, 9) lat, round(u.lon, 9) lon, u.anzahl, runde from r1 u join pi on pi.id = u.ort_id""")
 def search_streets(spark: SparkSession, sf: str) -> DataFrame:
-    raw = addr_raw(spark, sf)
+    raw = addr_rows(spark, sf)
     p = address.place_index(raw)
     return _round(search.search_streets(address.street_index(raw, p), p, "Red"), "lat", "lon", n=9)
 
@@ -156,7 +162,7 @@ def search_streets(spark: SparkSession, sf: str) -> DataFrame:
 @query("search_streets_two_round", STREETS + ", sp as (select * from sf where ort_id = 3)" + ROUNDS.format(rows="sp", prefix="starts_with(such, 'strasse')", inside="contains(such, 'strasse')") + """
 select u.id, name, pi.ort, round(u.lat, 9) lat, round(u.lon, 9) lon, u.anzahl, runde from u join pi on pi.id = u.ort_id order by runde, u.anzahl desc, u.id limit 25""")
 def search_streets_two_round(spark: SparkSession, sf: str) -> DataFrame:
-    raw = addr_raw(spark, sf)
+    raw = addr_rows(spark, sf)
     p = address.place_index(raw)
     return _round(search.search_streets(address.street_index(raw, p), p, "Straße", 3), "lat", "lon", n=9)
 
@@ -165,7 +171,7 @@ def search_streets_two_round(spark: SparkSession, sf: str) -> DataFrame:
   cast(regexp_extract(hnr, '[0-9]+') as bigint) sortier from a join pi using (ort) join si on si.ort_id = pi.id and si.strasse = a.strasse where si.id = 5)
 select nummer, rang from n where rang is not null order by rang, sortier, nummer limit 25""")
 def search_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    raw = addr_raw(spark, sf)
+    raw = addr_rows(spark, sf)
     p = address.place_index(raw)
     return search.search_numbers(address.number_index(raw, p, address.street_index(raw, p)), 5, "1").select("nummer", "rang")
 
@@ -184,6 +190,19 @@ def fold_forms(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.sha2("f1", 256).alias("such1"), F.sha2("f2", 256).alias("such2"), "formen")
 
 
+#: Part names with letters that the German tables do not have, and white space at the end.
+LETTERS = """select p_partkey, concat(p_name, ' ', case p_partkey % 9 when 0 then 'Chișinău' when 1 then 'Đakovo' when 2 then 'Tromsø' when 3 then 'Huế' when 4 then 'Łódź'
+  when 5 then 'Ἀθῆναι' when 6 then 'Þórshöfn' when 7 then 'Ağrı' else 'Nürnberg' end, case when p_partkey % 2 = 0 then chr(9) else '' end) n from {part}"""
+
+
+@query("fold_other_letters", f"""with p as ({_duck(LETTERS)}), b as (select p_partkey, lower(n) n, trim(lower(n), ' ' || chr(9)) b from p)
+select p_partkey, strip_accents(replace(b, 'ü', 'ue').replace('ö', 'oe')) such1, strip_accents(b) such2,
+  regexp_replace(strip_accents(replace(n, 'ü', 'ue').replace('ö', 'oe')), '[^\\x00-\\x7F]', '', 'g') k from b""")
+def fold_other_letters(spark: SparkSession, sf: str) -> DataFrame:
+    p = _sql(spark, sf, LETTERS)
+    return p.select("p_partkey", text.transcribed_form("n").alias("such1"), text.stripped_form("n").alias("such2"), text.gazetteer_key("n").alias("k"))
+
+
 @query("sort_key_numbers", "select c_custkey, coalesce(try_cast(nullif(regexp_extract(c_name, '[0-9]+'), '') as bigint), 0) sortier from customer")
 def sort_key_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", text.number_sort_key("c_name").alias("sortier"))
@@ -218,11 +237,11 @@ def gaz_best_by_pop(spark: SparkSession, sf: str) -> DataFrame:
     return gazetteer.best_by_population(_sql(spark, sf, GAZ)).select("gid", "pop", "ordinal", "st", "first_seen")
 
 
-@query("gaz_preferred_name", """with r as (select conv_id gid, substr(text, 1, 40) as name, row_number() over (partition by conv_id order by case when role = 'assistant' then 0 else 1 end, turn) k from conversations)
+@query("gaz_preferred_name", """with r as (select conv_id gid, text as name, row_number() over (partition by conv_id order by case when role = 'assistant' then 0 else 1 end, turn) k from conversations)
 select gid, name from r where k = 1""")
 def gaz_preferred_name(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
-    n = c.select(F.col("conv_id").alias("gid"), F.col("turn").alias("ordinal"), F.substring("text", 1, 40).alias("name"), (F.col("role") == "assistant").alias("preferred"))
+    n = c.select(F.col("conv_id").alias("gid"), F.col("turn").alias("ordinal"), F.col("text").alias("name"), (F.col("role") == "assistant").alias("preferred"))
     return gazetteer.preferred_name(n)
 
 
@@ -251,6 +270,30 @@ def gaz_place_filter(spark: SparkSession, sf: str) -> DataFrame:
     return gazetteer.place_lines(_sql(spark, sf, GAZ_LINES), "DE").select("ordinal", "lat", "lon", "pop")
 
 
+#: Lines of two gazetteer files and of alternate names, with many equal populations.
+TWO_FILES = """select o_orderkey ordinal, concat_ws('\\t', cast(o_custkey as string), concat('%s ', cast(o_custkey %% 300 as string)), concat('a', cast(o_custkey %% 300 as string)), '',
+  cast(40 + o_custkey %% 20 as string), cast(o_custkey %% 30 as string), 'P', 'PPL', case when o_orderkey %% 3 = 0 then 'NL' else 'DE' end, '', '07', '', '', '', cast(o_orderkey %% %d as string)) value from {orders}"""
+NAME_LINES = """select o_orderkey ordinal, concat_ws('\\t', cast(o_orderkey as string), case when o_orderkey % 19 = 0 then 'x' else cast(o_custkey as string) end, case when o_orderkey % 4 = 0 then 'en' else 'de' end,
+  concat('Name ', cast(o_orderkey % 50 as string)), case when o_orderkey % 6 = 1 then '1' when o_orderkey % 5 > 0 then '' end,
+  case when o_orderkey % 7 = 2 then concat('', chr(9), '', chr(9), '1') end) value from {orders}"""
+
+
+@query("gaz_two_files", """with u as (
+  select 0 f, o_orderkey ordinal, o_custkey gid, 'Land ' || (o_custkey % 300) as name, 'DE' country, o_orderkey % 3 pop from orders where o_orderkey % 3 <> 0
+  union all select 1, o_orderkey, o_custkey, 'Welt ' || (o_custkey % 300), case when o_orderkey % 3 = 0 then 'NL' else 'DE' end, o_orderkey % 4 from orders),
+b as (select *, row_number() over (partition by gid order by pop desc, f, ordinal) k,
+  min(f * (select max(o_orderkey) + 1 from orders) + ordinal) over (partition by gid) first_seen from u),
+l as (select o_custkey gid, 'Name ' || (o_orderkey % 50) as name, row_number() over (partition by o_custkey order by case when o_orderkey % 6 = 1 then 0 else 1 end, o_orderkey) k
+  from orders where o_orderkey % 19 <> 0 and o_orderkey % 4 <> 0 and not (o_orderkey % 7 = 2 and (o_orderkey % 6 = 1 or o_orderkey % 5 > 0)) and (o_orderkey % 6 = 1 or o_orderkey % 5 > 0 or o_orderkey % 7 = 2)),
+d as (select b.gid, coalesce(l.name, b.name) display, b.name as original, b.country, b.pop, b.first_seen, 40 + b.gid % 20 lat, b.gid % 30 lon from b left join l on l.gid = b.gid and l.k = 1 where b.k = 1),
+e as (select *, row_number() over (partition by lower(display), lat, lon order by pop desc, first_seen) k, min(first_seen) over (partition by lower(display), lat, lon) first from d)
+select display, cast(lat as double) lat, cast(lon as double) lon, pop, country, array_to_string(list_sort(list_distinct(list_filter([original, 'a' || (gid % 300)], lambda x: x <> display))), '|') aliases, first first_seen from e where k = 1""")
+def gaz_two_files(spark: SparkSession, sf: str) -> DataFrame:
+    country, world = (_sql(spark, sf, TWO_FILES % (name, n)) for name, n in (("Land", 3), ("Welt", 4)))
+    g = gazetteer.gazetteer(world, country, _sql(spark, sf, NAME_LINES))
+    return g.select("display", "lat", "lon", "pop", "country", F.array_join("aliases", "|").alias("aliases"), "first_seen")
+
+
 @query("gaz_lookup", f"""with g as ({_duck(GAZ)}) select gid, pop from g where lower(st) = 'f' order by pop desc, ordinal limit 1""")
 def gaz_lookup(spark: SparkSession, sf: str) -> DataFrame:
     g = _sql(spark, sf, GAZ).withColumn("first_seen", F.col("ordinal"))
@@ -558,6 +601,29 @@ def phantom_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.phantom_kinds(st.style_kinds(spark, style), _sql(spark, sf, FEATURES)).select("layer", F.array_join("kinds", ",").alias("kinds"))
 
 
+VIEWS = {"metadata": {"views": [{"id": "nacht", "kinds": ["purchase", "click"]}, {"id": "tag", "kinds": ["signup"]}]}}
+
+
+@query("style_views", FD + """select 'nacht' view, ordinal from f where kind in ('click', 'view', 'purchase') and kind is distinct from 'view'
+union all select 'tag', ordinal from f where kind in ('click', 'view', 'signup') and kind is distinct from 'view'
+union all select '', ordinal from f where kind in ('click', 'view') and kind is distinct from 'view'""")
+def style_views(spark: SparkSession, sf: str) -> DataFrame:
+    f, out = _features(spark, sf), None
+    for view in ("nacht", "tag", ""):
+        shown = ["match", GET, st.view_kinds(VIEWS, ["click", "view"], view), True, False]
+        rows = st.layer_features(f, {"id": "v", "filter": ["all", shown, ["!=", GET, "view"]]}, ATTRS).select(F.lit(view).alias("view"), "ordinal")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("style_missing_symbols", FD + "select coalesce(kind_detail, kind) symbol, count(*) n from f where coalesce(kind_detail, kind) not in (select 'd' || r_regionkey from region where r_regionkey < 2) group by 1")
+def style_missing_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    image = st.compile_expression(["image", ["coalesce", ["get", "kind_detail"], ["get", "kind"]]], ATTRS)
+    sheet = table(spark, sf, "region").where("r_regionkey < 2").select(F.concat(F.lit("d"), F.col("r_regionkey").cast("string")).alias("symbol"))
+    wanted = _features(spark, sf).select(image.alias("symbol")).where("symbol is not null")
+    return kinds.missing_symbols(wanted, sheet).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
 @query("kind_union", "select distinct event_type kind from events union select distinct o_orderstatus from orders")
 def kind_union(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.kinds_of_layers(_sql(spark, sf, FEATURES), table(spark, sf, "orders").select(F.col("o_orderstatus").alias("kind")))
@@ -572,9 +638,12 @@ def distinct_messages(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.distinct_messages(log).select("message")
 
 
-@query("unknown_sources", "select 'b' layer, 'gone' source")
+@query("unknown_sources", "select n_name layer, 's' || n_regionkey source from nation where n_regionkey not in (select r_regionkey from region where r_name < 'B' or r_name > 'F') and n_nationkey % 7 <> 3")
 def unknown_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return st.unknown_sources(spark, {"sources": {"here": {}}, "layers": [{"id": "a", "source": "here"}, {"id": "b", "source": "gone"}, {"id": "c"}]}).select("layer", "source")
+    # a style of 25 layers, three of them without a source
+    here = table(spark, sf, "region").where("r_name < 'B' or r_name > 'F'").collect()
+    layers = [{"id": r.n_name} | ({"source": f"s{r.n_regionkey}"} if r.n_nationkey % 7 != 3 else {}) for r in table(spark, sf, "nation").collect()]
+    return st.unknown_sources(spark, {"sources": {f"s{r.r_regionkey}": {} for r in here}, "layers": layers}).select("layer", "source")
 
 
 # --- terrain --------------------------------------------------------------
@@ -609,10 +678,14 @@ def terrain_pyramid(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("px", "py", F.round("h", 9).alias("h"), F.col("n").cast("bigint").alias("n"))
 
 
-@query("terrain_tiles", CD + """u as (select distinct px, py from c), n as (select px // 8 tx, py // 8 ty, count(*) n from u group by all having count(*) = 64)
+#: Cells of 64 x 64; some lie far away, so that their blocks have gaps.
+BLOCKS = "select case when (l_orderkey % 64 * 7 + l_partkey % 64 * 3) % 101 = 0 then 10000 else 0 end + l_orderkey % 64 px, l_partkey % 64 py, l_extendedprice / 100 h from {lineitem}"
+
+
+@query("terrain_tiles", f"with c as ({_duck(BLOCKS)}), " + """u as (select distinct px, py from c), n as (select px // 8 tx, py // 8 ty, count(*) n from u group by all having count(*) = 64)
 select n.tx, n.ty, px % 8 ix, py % 8 iy from u join n on px // 8 = tx and py // 8 = ty""")
 def terrain_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    c = _sql(spark, sf, CELLS).groupBy("px", "py").agg(F.max("h").alias("h"))
+    c = _sql(spark, sf, BLOCKS).groupBy("px", "py").agg(F.max("h").alias("h"))
     return terrain.cut_tiles(c, 8).select("tx", "ty", "ix", "iy")
 
 
@@ -727,18 +800,20 @@ def route_resample(spark: SparkSession, sf: str) -> DataFrame:
     return _round(route.resample(_sql(spark, sf, LINE), 25.0), "lon", "lat", n=7)
 
 
-@query("line_gap", f"with p as ({_duck(LINE)}) select id, round(max(sqrt(pow(0.0002 * 111320 * cos(radians(lat)), 2) + pow(0.0001 * (seq % 3) * 110540, 2))), 4) abweichung from p where seq <= 40 group by id")
+@query("line_gap", f"with p as ({_duck(LINE)}) select id, round(max(sqrt(pow(0.0002 * 111320 * cos(radians(lat)), 2) + pow(0.0001 * (seq % 3) * 110540, 2))), 4) abweichung from (select *, max(seq) over (partition by id) n from p) where seq < n or n = 1 group by id")
 def line_gap(spark: SparkSession, sf: str) -> DataFrame:
     a = _sql(spark, sf, LINE)
-    b = a.where("seq <= 40").withColumn("lon", F.col("lon") + 0.0002).withColumn("lat", F.col("lat") + 0.0001 * (F.col("seq") % 3))
+    # the other line lacks the last point
+    last = F.max("seq").over(Window.partitionBy("id"))
+    b = a.withColumn("n", last).where("seq < n or n = 1").withColumn("lon", F.col("lon") + 0.0002).withColumn("lat", F.col("lat") + 0.0001 * (F.col("seq") % 3))
     return _round(route.largest_gap(a, b), "abweichung", n=4)
 
 
 @query("rate_slots", SD + """i as (select id, k * 1.0::double t, row_number() over (partition by id order by k, event_id) n from s)
 select id, n, round(max(t - (n - 1) * 0.5::double) over (partition by id order by n) + (n - 1) * 0.5::double, 6) s from i""")
 def rate_slots(spark: SparkSession, sf: str) -> DataFrame:
-    s = _sql(spark, sf, SERIES).groupBy("id").agg(F.array_sort(F.collect_list(F.col("k").cast("double"))).alias("t"))
-    return s.select("id", F.posexplode(geo.slots(F.col("t"), 2.0)).alias("n", "s")).select("id", (F.col("n") + 1).cast("bigint").alias("n"), F.round("s", 6).alias("s"))
+    s = _sql(spark, sf, SERIES).select("id", F.col("k").cast("double").alias("t"))
+    return tiles.rate_slots(s, 2.0).select("id", "n", F.round("slot", 6).alias("s"))
 
 
 @query("building_control", "select l_orderkey % 50 tile, count(*) n, round(median(l_quantity), 1) median, max(l_quantity) max from lineitem group by 1")
@@ -796,10 +871,31 @@ def except_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, sf, "lineitem").where("l_quantity > 40").select("l_partkey"))
 
 
-# --- formats without an SQL form ------------------------------------------
+# --- file formats ------------------------------------------
+
+
+@query("geojson_lines", """with c as (select c_custkey, c_custkey % 30 + 0.25::double lon, c_custkey % 20 + 40.5::double lat, 0.5 + (c_custkey % 90) / 2 hoehe from customer)
+select '{"type":"Feature","properties":{"hoehe":' || hoehe::double || '},"geometry":{"type":"Polygon","coordinates":[[[' || lon || ',' || lat || '],[' || (lon + 0.5) || ',' || lat || '],[' || lon || ',' || (lat + 0.5)
+  || '],[' || lon || ',' || lat || ']]]}}' as value from c""")
+def geojson_lines(spark: SparkSession, sf: str) -> DataFrame:
+    k, rows = F.col("c_custkey"), table(spark, sf, "customer")
+    lon, lat = k % 30 + 0.25, k % 20 + 40.5
+    corner = lambda x, y: F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))
+    ring = geo.close_ring(F.array(corner(lon, lat), corner(lon + 0.5, lat), corner(lon, lat + 0.5)))
+    return buildings.as_geojson(rows.select((0.5 + k % 90 / 2).alias("hoehe"), ring.alias("ring")))
+
+
+@query("positional_lines", """select '["' || p_name || ' \\"x\\"",' || (40.5 + p_partkey % 20)::double || ',' || (7.25 + p_partkey % 9)::double || ',' || p_partkey || ',"DE","0' || (p_partkey % 10) || '",["' || p_brand || '","' || p_type || '"]]' as value from part""")
+def positional_lines(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select(
+        F.concat("p_name", F.lit(' "x"')).alias("display"), (40.5 + k % 20).cast("double").alias("lat"), (7.25 + k % 9).cast("double").alias("lon"), k.alias("pop"),
+        F.lit("DE").alias("country"), F.concat(F.lit("0"), (k % 10).cast("string")).alias("adm1"), F.array("p_brand", "p_type").alias("aliases"),
+    )
+    return gazetteer.as_positional_json(p)
 
 
-@query("polyline_decode")
+@query("polyline_decode", LLD + "select id, 0::int seq, round(lon, 6) lon, round(lat, 6) lat from p union all select id, 1, round(lon + 0.5, 6), round(lat - 0.25, 6) from p")
 def polyline_decode(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.binary import encode_polyline, polyline_points
 
@@ -811,7 +907,7 @@ def polyline_decode(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("id", F.posexplode(polyline_points("shape")).alias("seq", "p")).select("id", "seq", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 
 
-@query("mvt_decode")
+@query("mvt_decode", "select n_nationkey, 'pois' layer, n_name kind, cast(n_nationkey as varchar) min_zoom, case when n_nationkey % 2 = 0 then 'true' else 'false' end new from nation")
 def mvt_decode(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.binary import register_mvt, write_tile
 
@@ -826,22 +922,45 @@ def mvt_decode(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("n_nationkey", "layer", *(F.element_at("attrs", F.lit(k)).alias(k) for k in ("kind", "min_zoom", "new")))
 
 
-@query("png_tiles")
+@query("png_tiles", f"with c as ({_duck(BLOCKS)}), " + """u as (select px, py, max(h) h from c group by all),
+v as (select *, px // 8 tx, py // 8 ty, least(greatest(h + 32768, 0), 65535.996) v, count(*) over (partition by px // 8, py // 8) n from u)
+select tx, ty, px % 8 ix, py % 8 iy, cast(floor(floor(v) / 256) as int) r, cast(floor(v) % 256 as int) g, cast(floor((v - floor(v)) * 256) as int) b from v where n = 64""")
 def png_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    c = terrain.halve(_sql(spark, sf, CELLS).select("px", "py", "h"), 8)
-    return terrain.png_tiles(terrain.cut_tiles(c, 8), 8).select("tx", "ty", F.length("png").alias("bytes"))
+    # pictures are drawn, then read back pixel by pixel
+    from ..functions.binary import png_pixels
+
+    c = _sql(spark, sf, BLOCKS).groupBy("px", "py").agg(F.max("h").alias("h"))
+    t = terrain.png_tiles(terrain.cut_tiles(c, 8), 8).select("tx", "ty", F.posexplode(png_pixels("png")).alias("i", "p"))
+    return t.select("tx", "ty", (F.col("i") % 8).cast("bigint").alias("ix"), F.floor(F.col("i") / 8).alias("iy"), "p.r", "p.g", "p.b")
 
 
-@query("xml_buildings")
+@query("xml_buildings", """select cast(s_suppkey as varchar) id, cast(s_suppkey % 400 as double) hoehe, case when s_suppkey % 4 = 3 then 6 else 5 end::int punkte,
+  case when s_suppkey % 4 = 0 then 'zweite Fläche' when s_suppkey % 4 = 1 then 'ohne exterior' when s_suppkey % 4 = 2 then 'tiefste' else 'Boden' end art from supplier where s_suppkey % 400 between 1 and 300""")
 def xml_buildings(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.files import buildings_of
 
-    n = table(spark, sf, "supplier").withColumn("m", (F.col("s_suppkey") % 400).cast("string"))
-    east, north = 360000 + F.col("s_suppkey") * 10, F.lit(5670000)
-    pos = F.concat_ws(" ", *(v.cast("string") for dx, dy in ((0, 0), (8, 0), (8, 6), (0, 6)) for v in (east + dx, north + dy, F.lit(50))))
+    east, n = 360000 + F.col("s_suppkey") * 20, F.col("s_suppkey") % 4
+
+    def pos(z: int, width: int, corners: int = 4):  # noqa: ANN202
+        spots = [(0, 0), (width, 0), (width, 6), (0, 6), (0, 3)][:corners]
+        return F.concat_ws(" ", *(F.concat((east + x).cast("string"), F.lit(f" {5670000 + y} {z}")) for x, y in spots))
+
+    def polygon(points, exterior: bool = True):  # noqa: ANN001, ANN202
+        a, b = ("<exterior>", "</exterior>") if exterior else ("", "")
+        return F.concat(F.lit(f"<Polygon>{a}<posList>"), points, F.lit(f"</posList>{b}</Polygon>"))
+
+    ground = lambda *p: F.concat(F.lit("<b:GroundSurface>"), *p, F.lit("</b:GroundSurface>"))
+    # the first usable of two grounds though the other one is lower; a bare ring; the lowest face; a ring of five points
+    two = F.concat(ground(polygon(F.lit("1 2 3"))), ground(polygon(pos(60, 8))), ground(polygon(pos(50, 12))))
+    faces = F.concat(polygon(pos(70, 12)), polygon(pos(50, 10)), polygon(pos(55, 14)))
+    body = F.when(n == 0, two).when(n == 1, ground(polygon(pos(50, 9), False))).when(n == 2, faces).otherwise(ground(polygon(pos(50, 11, 5))))
     xml = F.concat(
-        F.lit('<c xmlns:b="u"><b:Building id="'), F.col("s_suppkey").cast("string"), F.lit('"><b:measuredHeight>'), "m",
-        F.lit("</b:measuredHeight><b:GroundSurface><Polygon><exterior><posList>"), pos, F.lit("</posList></exterior></Polygon></b:GroundSurface></b:Building></c>"),
+        F.lit('<c xmlns:b="u"><b:Building id="'), F.col("s_suppkey").cast("string"), F.lit('"><b:measuredHeight>'), (F.col("s_suppkey") % 400).cast("string"),
+        F.lit("</b:measuredHeight>"), body, F.lit("</b:Building></c>"),
     )
-    b = n.select(F.explode(buildings_of(xml.cast("binary"))).alias("b")).select("b.*")
-    return buildings.footprints(b).select("id", "hoehe", F.size("ring").alias("punkte"))
+    b = buildings.footprints(table(spark, sf, "supplier").select(F.explode(buildings_of(xml.cast("binary"))).alias("b")).select("b.*"))
+    east_of = lambda p: geo.to_utm(p["lon"], p["lat"])[0]
+    # the kind is told by the width of the ring in metres
+    width = F.round(east_of(F.element_at("ring", 2)) - east_of(F.element_at("ring", 1))).cast("int")
+    kind = F.element_at(F.create_map(*[F.lit(v) for p in {8: "zweite Fläche", 9: "ohne exterior", 10: "tiefste", 11: "Boden"}.items() for v in p]), width)
+    return b.select("id", "hoehe", F.size("ring").alias("punkte"), kind.alias("art"))
