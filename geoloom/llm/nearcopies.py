@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stash
+from .common import batch_rows, connected_components, stash
 from .simhash import SEED, links
 
 WORDS = 5
 BAGS = 16
 ALL = 32
 SHORT = 64
+#: Rows of an Arrow batch of shingle sets, two a row.
+SET_ROWS = 32
 TILE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,7 +160,7 @@ def group_classes(docs: DataFrame, similarity: float = 0.8, key: Column | None =
     # the shingle sets of all candidates, once; what is needed grows with the corpus, so it is never broadcast
     need = members.select("k").distinct().hint("merge")
     sets = stash(source.join(need, "k", "left_semi").dropDuplicates(["k"]).mapInArrow(_sets, "k long, s binary"), "near-sets")
-    edges = stash(_similar(sets, led.where("k <> lead").select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")), similarity), "near-led")
+    edges = _similar(sets, led.where("k <> lead").select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")), similarity)
     # in small groups, all pairs that the leaders have not joined yet
     so_far = stash(connected_components(edges), "near-so-far")
     few = members.where((F.col("size") > 2) & (F.col("size") <= ALL) & (F.col("k") != F.col("lead"))).select("g", "k")
@@ -166,7 +168,7 @@ def group_classes(docs: DataFrame, similarity: float = 0.8, key: Column | None =
     few = stash(few, "near-few")
     a, b = few.select("g", F.col("k").alias("a"), F.col("c").alias("ca")), few.select("g", F.col("k").alias("b"), F.col("c").alias("cb"))
     more = _similar(sets, a.join(b, "g").where("a < b and ca <> cb").select("a", "b"), similarity)
-    edges = stash(edges.unionByName(more), "near-edges")
+    edges = edges.unionByName(more)
     return _large(sets, members.where(F.col("size") > ALL).select("g", "k"), edges, similarity).select(F.col("node").alias("k"), F.col("component").alias("c"))
 
 
@@ -195,11 +197,12 @@ def _large(sets: DataFrame, large: DataFrame, edges: DataFrame, similarity: floa
     rare = hashes.join(rare.hint("merge"), "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
     first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
     mine = mine.join(rare, "k", "left").withColumn("rare", F.coalesce(F.size("r"), F.lit(0))).withColumn("rare", F.greatest("rare", F.lit(0))).withColumn("first", first)
-    mine = stash(mine, "near-rare")
+    with batch_rows(sets.sparkSession, SET_ROWS):
+        mine = stash(mine, "near-rare")
     keys = mine.where("rare > 0").select("k", "c", F.explode(F.slice("r", F.lit(1), F.col("first"))).alias("x")).where("x.df > 1").select("k", "c", F.col("x.w").alias("w"))
     keys = stash(keys, "near-prefix")
     a, b = keys.select("w", F.col("k").alias("a"), F.col("c").alias("ca")), keys.select("w", F.col("k").alias("b"), F.col("c").alias("cb"))
-    edges = stash(edges.unionByName(_similar(sets, a.join(b, "w").where("a < b and ca <> cb").select("a", "b"), similarity)), "near-edges")
+    edges = edges.unionByName(_similar(sets, a.join(b, "w").where("a < b and ca <> cb").select("a", "b"), similarity))
     so_far = stash(connected_components(edges), "near-so-far")
     reach = mine.where("rare < first").select("k", "s", "rare")
     left = stash(_open(large.join(reach.select("k"), "k", "left_semi"), so_far), "near-open")
@@ -261,7 +264,8 @@ def _similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of text digests whose shingle sets are similar enough."""
     pairs = stash(pairs.distinct(), "near-pairs")
     both = pairs.join(sets.select(F.col("k").alias("a"), "s"), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(_verify(similarity), "a long, b long")
+    with batch_rows(sets.sparkSession, SET_ROWS):
+        return stash(both.select("a", "b", "s", "t").mapInArrow(_verify(similarity), "a long, b long"), "near-similar")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
