@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Local path, on every executor, of the public piece vocabulary.
-PIECE_MODEL = os.environ.get("GEOLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Rows of an Arrow batch where the session sets none: texts may be long.
 BATCH_ROWS = 1024
