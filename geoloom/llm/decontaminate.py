@@ -235,6 +235,13 @@ class Index:
 MATCH = "array<struct<item_id:long,score:double,overlap:double,question:double,answer:double>>"
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))
+    for b in batches:
+        terms = [[{"a": x, "b": y} for x, y in terms_of(words_of(t.as_py()))] for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(terms, kind)], names=["shard", "w"])
+
+
 def annotate(docs: DataFrame, benchmark: DataFrame, theta: float = 0.5, least: float = 0.8, part_least: float = 0.5) -> DataFrame:
     """``docs`` with a column ``matches``: the leaked items of each row's text.
 
@@ -248,38 +255,33 @@ def annotate(docs: DataFrame, benchmark: DataFrame, theta: float = 0.5, least: f
     items = stash(benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null"), "items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     shards = max(1, -(-size.b // SHARD_BYTES))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-
-    @F.udf("array<struct<a:string,b:string>>")
-    def item_terms(text):  # noqa: ANN001, ANN202
-        return terms_of(words_of(text))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("long"))
 
-    tokens = items.select("shard", item_terms("text").alias("w"))
+    tokens = items.select("shard", "text").mapInArrow(_item_terms, "shard long, w array<struct<a:string,b:string>>")
     mean = tokens.agg(F.avg(F.size("w")).alias("m")).first().m or 1.0
     each = tokens.select("shard", F.explode(F.array_distinct("w")).alias("w"))
     df = each.groupBy("w").agg(F.count("*").alias("df"))
     base = docs.drop("matches")
-    out = base.withColumn("matches", F.array().cast(MATCH))
-    names = base.columns
+    indexes = []
     for shard in range(shards):
         rows = [(r.item_id, r.text) for r in items.where(F.col("shard") == shard).orderBy("item_id", "text").collect()]
         mine = each.where(F.col("shard") == shard).select("w").distinct()
         counts = {tuple(r.w): r.df for r in df.join(mine, "w").collect()}
-        index = spark.sparkContext.broadcast(Index.build(rows, counts, size.n, mean, theta))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            ix = index.value
-            at = names.index("text")
-            for b in batches:
-                got = []
-                for t, before in zip(b.column(at), b.column(len(names)).to_pylist()):
-                    found = ix.leaks(t.as_py() or "", least, part_least)
-                    got.append(before + [dict(zip(("item_id", "score", "overlap", "question", "answer"), f)) for f in found])
-                kind = pa.list_(pa.struct([("item_id", pa.int64())] + [(n, pa.float64()) for n in ("score", "overlap", "question", "answer")]))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, kind)], names=[*names, "matches"])
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+        indexes.append(spark.sparkContext.broadcast(Index.build(rows, counts, size.n, mean, theta)))
+    names = base.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("item_id", pa.int64())] + [(n, pa.float64()) for n in ("score", "overlap", "question", "answer")]))
+        for b in batches:
+            got = []
+            for t in b.column(at):
+                text = t.as_py() or ""
+                found = [f for ix in indexes for f in ix.value.leaks(text, least, part_least)]
+                got.append([dict(zip(("item_id", "score", "overlap", "question", "answer"), f)) for f in found])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, kind)], names=[*names, "matches"])
+
+    return base.mapInArrow(run, base.withColumn("matches", F.array().cast(MATCH)).schema)
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), **how: float) -> DataFrame:
