@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,10 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.set(key, old)
 
 
+#: Tables this process has written and not deleted.
+_made: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder, read it back.
 
@@ -49,17 +54,56 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geoloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tables_of(df: DataFrame) -> set[str]:
+    """Names of the folders that a plan reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            roots = leaf.relation().location().rootPaths()
+            out |= {roots.apply(j).getName() for j in range(roots.size())}
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _made.remove(path)
+
+
 def drop_stash(df: DataFrame) -> None:
-    """Delete the files of a stashed frame that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
+    """Delete the files of stashed frames that no later plan reads."""
+    names = _tables_of(df)
+    for path in [p for p in _made if p.rsplit("/", 1)[1] in names]:
+        _delete(df.sparkSession, path)
+
+
+def made() -> int:
+    """A mark for ``release``."""
+    return len(_made)
+
+
+def release(mark: int, result: DataFrame) -> DataFrame:
+    """Delete the tables stashed since ``mark`` that ``result`` does not read."""
+    names = _tables_of(result)
+    for path in [p for p in _made[mark:] if p.rsplit("/", 1)[1] not in names]:
+        _delete(result.sparkSession, path)
+    return result
+
+
+def tidy(run):  # noqa: ANN001, ANN201
+    """A query or stage that leaves no table behind but those its result reads."""
+
+    @wraps(run)
+    def tidied(*args) -> DataFrame:  # noqa: ANN002
+        mark = made()
+        return release(mark, run(*args))
+
+    return tidied
 
 
 def text_of(column: str = "text") -> Column:

@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Local path, on every executor, of the public piece vocabulary.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -97,18 +99,8 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sentencepiece": op1_sentencepiece,
-    "op2_simhash": op2_simhash,
-    "op3_decontaminate": op3_decontaminate,
-    "op4_secrets": op4_secrets,
-    "op5_toxicity": op5_toxicity,
-    "op6_repeats": op6_repeats,
-    "op7_chat": op7_chat,
-    "op8_quality": op8_quality,
-    "op9_lm": op9_lm,
-    "op10_embeddings": op10_embeddings,
-}
+OPERATORS = (op1_sentencepiece, op2_simhash, op3_decontaminate, op4_secrets, op5_toxicity, op6_repeats, op7_chat, op8_quality, op9_lm, op10_embeddings)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {run.__name__: tidy(run) for run in OPERATORS}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_embeddings": """

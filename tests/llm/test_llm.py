@@ -124,6 +124,17 @@ def test_links_hot_and_cold(spark, hot, radius):
     assert [got.get(v, v) for v in x] == component_ids(x, [v % (1 << 64) for v in x], radius)
 
 
+def test_tables_are_dropped(spark, sf):
+    mark = common.made()
+    df = queries.QUERIES["op2_simhash"](spark, sf)
+    left = common._made[mark:]
+    assert {p.rsplit("/", 1)[1] for p in left} <= common._tables_of(df) and 0 < len(left) < 8 and df.count() > 0
+    common.release(mark, spark.range(1))
+    assert common.made() == mark
+    with pytest.raises(Exception, match="(?i)not exist|not_exist"):
+        df.count()
+
+
 def test_simhash_empty(spark, empty):
     assert simhash.components(empty).count() == 0
 
