@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import stash
+from geoloom.llm.common import made, release, stash, tidy
 from geoloom.llm.queries import PIECE_MODEL, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -49,11 +49,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", quality),
-    ("SimHash near-dedup", near_copies),
-    ("benchmark decontamination", decontaminate),
-    ("secret scans", mask_secrets),
-    ("SentencePiece encoding and decoding", encode),
+    ("quality classifier", tidy(quality)),
+    ("SimHash near-dedup", tidy(near_copies)),
+    ("benchmark decontamination", tidy(decontaminate)),
+    ("secret scans", tidy(mask_secrets)),
+    ("SentencePiece encoding and decoding", tidy(encode)),
 ]
 
 #: Stages are trained or iterative; the tests hold each against a brute-force version.
@@ -62,9 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is the next one's input."""
+    mark = made()
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stash(docs, f"stage{i}")
+            docs = release(mark, stash(docs, f"stage{i}"))
     return docs
