@@ -7,9 +7,9 @@ within the budget, that of one block is within budget / BLOCKS, its share.  Each
 block is therefore range-joined under that share.
 
 The range join is a tree over the block's coordinates.  A node of more than
-``TILE`` rows is split by the next coordinate into slabs as wide as the block's
-radius; a row goes to its own slab and visits a neighbouring one as long as its
-squared gaps to the visited slabs stay within the share, which is a ball bound.
+``TILE`` rows is split by the next coordinate into slabs twice as wide as the
+block's radius; a row goes to its own slab and visits a neighbouring one as long
+as its squared gaps to the visited slabs stay within the share, a ball bound.
 Rows are split no further than needed, so few copies are made.  What is still
 large after all coordinates (vectors that are close in the whole block) is cut
 into tiles.  A label with up to ``TILE`` vectors is one tile for all its blocks.
@@ -183,7 +183,7 @@ def _range_join(rotated: DataFrame, share: Column, tile: int) -> DataFrame:
     other's leaf; so every such pair meets once.
     """
     where = ["label", "d", "blk", "node"]
-    width = F.sqrt(share) + F.lit(SLACK)
+    width = 2 * F.sqrt(share) + F.lit(SLACK)  # half of the rows are near a border, so visits stay few
     blk, blocks = F.col("blk"), F.least(F.lit(BLOCKS), F.col("d").cast("int"))
     each, more = F.floor(F.col("d") / blocks).cast("int"), (F.col("d") % blocks).cast("int")
     part = F.slice("y", blk * each + F.least(blk, more) + 1, each + (blk < more).cast("int"))
